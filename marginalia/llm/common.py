@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows that an operator handles at a time inside one Arrow batch.
 SLICE_ROWS = 256
 #: Bytes of text in such a slice; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,14 +57,14 @@ def doc_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each slice holds few rows and few bytes."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
         sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
         begin, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > begin and (i - begin >= SLICE_ROWS or held + n > SLICE_BYTES):
+            if i > begin and (i - begin >= rows or held + n > SLICE_BYTES):
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += n
@@ -83,3 +83,18 @@ def utf8_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int, seed: int = 5) -> list[tuple[str, int]]:
+    """Text and label of at most about ``bound`` labelled rows, drawn by a hash of doc_id, of which none
+    is held out (crc32 of the id modulo ``modulus`` equal to ``held_out``). One row for each doc_id; the
+    order doesn't depend on partitions.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
+        (doc_remainder("doc_id", modulus) != held_out) & F.col("label").isNotNull()
+    )
+    fraction = min(1.0, bound / max(1, own.count()))
+    drawn = own.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < int(fraction * (1 << 30))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")  # about ``bound`` rows
+    found = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).collect()
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: r["doc_id"])]

@@ -75,7 +75,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, length: int, end_id: int) ->
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for part in text_slices(batches):
+        for part in text_slices(batches, rows=1024):
             streams = [ids + end for ids in encode(texts_of(part))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -142,7 +142,7 @@ def materialise(docs: DataFrame, pieces: DataFrame, vocabulary: str, length: int
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for part in text_slices(batches):
+        for part in text_slices(batches, rows=1024):
             for doc_id, ids in zip(column_of(part, "doc_id").to_pylist(), encode(texts_of(part))):
                 ids = np.frombuffer(ids + end, "<u4").astype("<i4")
                 cut = [ids[i : i + length] for i in range(0, len(ids), length)]

@@ -93,7 +93,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent = encoder(vocabulary).encode, set()
-        for part in text_slices(batches):
+        for part in text_slices(batches, rows=1024):
             rows: list[tuple] = []
             for doc_id, raw in zip(column_of(part, "doc_id").to_pylist(), encode(texts_of(part))):
                 ids = np.frombuffer(raw + end, "<u4")

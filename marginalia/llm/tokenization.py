@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Units that a worker keeps; beyond it new units are encoded each time they occur.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 700_000
 #: Longer units are encoded, but not kept.
 CACHED_CHARS = 40
 
