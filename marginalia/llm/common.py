@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,3 +98,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")  # about ``bound`` rows
     found = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def rows_kept(docs: DataFrame, decider: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs``, in all its columns, whose texts (null: empty) the decision keeps. ``decider`` is
+    called once in each task and gives the decision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for part in text_slices(batches):
+            yield part.filter(pa.array(decide(texts_of(part)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

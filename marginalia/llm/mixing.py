@@ -101,15 +101,16 @@ def mix(docs: DataFrame, weight: Column | None = None, most: float = 3.0, seed:
 
 def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
     """The mix as documents, in the columns of ``docs``: each whole take is a row, and a part of a
-    document is a row with the text's first words. Documents that the mix doesn't take go.
+    document is a row with the text's first words, a space between them. Documents that the mix doesn't take go.
     """
     taken = mix(docs, most=float(most)).select("doc_id", "size", "taken").groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     names = docs.columns
     part = F.col("taken") % F.col("size")
     copies = F.expr("CASE WHEN size > 0 AND taken > 0 THEN sequence(1, CAST(ceil(taken / size) AS INT)) END")
-    rows = docs.alias("m").join(taken.alias("t"), "doc_id").withColumn("copy", F.explode(copies))
+    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(copies))
     is_part = (part > 0) & (F.col("copy") == F.ceil(F.col("taken") / F.col("size")))
-    beginning = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), part.cast("string"), F.lit("}")), 0)
+    words = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    beginning = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
     cut = F.when(is_part, beginning).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else rows.select(*names)

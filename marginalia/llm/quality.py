@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, labelled_sample, text_slices, texts_of
+from marginalia.llm.common import column_of, labelled_sample, rows_kept, text_slices, texts_of
 
 #: Labelled documents that the vectors and the network are fitted on, at most about.
 SAMPLE_ROWS = 8_000
-#: Tokens of a sample document that the word vectors are summed over, at most; documents are scored whole.
 DIMENSIONS, NONZERO, WINDOW = 48, 6, 2
 LEAST_COUNT, MOST_WORDS = 20, 6_000
 HIDDEN, EPOCHS, BATCH, RATE = 32, 40, 64, 3e-3
@@ -197,3 +196,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array(probabilities(x, model), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+
+
+def only_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, in all columns of ``docs``, that score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        model = shared.value
+        look, same = TokenIds(model.ids), model.ids[REPEATED]
+        return lambda texts: (probabilities(np.stack([pooled(token_rows(t, look, same), model.vectors) for t in texts]), model) >= least).tolist()
+
+    return rows_kept(docs, decider)

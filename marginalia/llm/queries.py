@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import hmm, html_text, mixing, packing, quality, simhash, token_store, topk, toxicity
+from marginalia.llm import flac, hmm, html_text, media, mixing, packing, quality, simhash, token_store, topk, toxicity
 from marginalia.llm.common import doc_remainder, scratch_path
 from marginalia.llm.tokenization import vocabulary
 
@@ -59,6 +59,21 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.decode_media(media.encode_texts(_documents(spark, sf_dir)))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(pcm, -{flac.BLOCK}, {flac.BLOCK})")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.size("block_offsets").cast("long").alias("blocks"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -75,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hmm": op5_hmm,
     "op6_simhash": op6_simhash,
     "op7_top_k": op7_top_k,
+    "op8_media": op8_media,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
 }

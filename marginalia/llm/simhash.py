@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import column_of, text_slices, utf8_of, written
@@ -110,6 +110,7 @@ def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
     Of rows that repeat the doc_id that stays, one stays. Documents without an id stay only if all of their
     component lack one.
     """
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    unique = docs.dropDuplicates(["doc_id"])
-    return unique.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return rows.withColumn("nth_of_id", nth).where("nth_of_id = 1").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, labelled_sample, text_slices, texts_of
+from marginalia.llm.common import column_of, labelled_sample, rows_kept, text_slices, texts_of
 
 #: Labelled documents that the lexicon and the curve are fitted on, at most about.
 SAMPLE_ROWS = 12_000
@@ -304,3 +304,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, clauses int, strongest double")
+
+
+def without_toxic(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, in all columns of ``docs``, that score below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        model = shared.value
+        lexer, grammar = Lexer(model), machine(model)
+        return lambda texts: [probability(model, min(evidence(clause_scores(t, lexer, grammar)), 4.0)) < least for t in texts]
+
+    return rows_kept(docs, decider)
