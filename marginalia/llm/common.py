@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -85,10 +86,9 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int, seed: int = 5) -> list[tuple[str, int]]:
-    """Text and label of at most about ``bound`` labelled rows, drawn by a hash of doc_id, of which none
-    is held out (crc32 of the id modulo ``modulus`` equal to ``held_out``). One row for each doc_id; the
-    order doesn't depend on partitions.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int, seed: int = 5) -> DataFrame:
+    """doc_id, text and label of at most about ``bound`` labelled rows, drawn by a hash of doc_id, of which none
+    is held out (crc32 of the id modulo ``modulus`` equal to ``held_out``). One row for each doc_id.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         (doc_remainder("doc_id", modulus) != held_out) & F.col("label").isNotNull()
@@ -96,8 +96,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     fraction = min(1.0, bound / max(1, own.count()))
     drawn = own.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < int(fraction * (1 << 30))).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")  # about ``bound`` rows
-    found = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).collect()
-    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:
+    """What ``fit`` makes of a bounded sample's texts and labels, worked out in one task; their order doesn't
+    depend on partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "text", "label")))]
+        model = fit([(text, label) for _, text, label in sorted(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"]))
 
 
 def rows_kept(docs: DataFrame, decider: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:

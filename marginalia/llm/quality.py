@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, labelled_sample, rows_kept, text_slices, texts_of
+from marginalia.llm.common import column_of, fitted, labelled_sample, rows_kept, text_slices, texts_of
 
 #: Labelled documents that the vectors and the network are fitted on, at most about.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 DIMENSIONS, NONZERO, WINDOW = 48, 6, 2
 LEAST_COUNT, MOST_WORDS = 20, 6_000
 HIDDEN, EPOCHS, BATCH, RATE = 32, 40, 64, 3e-3
@@ -107,8 +107,8 @@ def pooled(rows: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_vectors(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    counts = Counter(w for words in texts for w in words)
+def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    counts = Counter(w for t in texts for w in t.split())
     shapes = Counter()
     for w, c in counts.items():
         shapes[shape(w)] += c
@@ -118,7 +118,7 @@ def word_vectors(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
     ids = {w: i for i, w in enumerate(names)}
     index = np.stack([index_vector(w) for w in names])
     look, context = TokenIds(ids), np.zeros((len(names), DIMENSIONS), np.float64)
-    stream = np.concatenate([np.append(np.fromiter(map(look.__getitem__, words), np.int64, len(words)), -1) for words in texts] or [np.empty(0, np.int64)])
+    stream = np.concatenate([np.append(np.fromiter(map(look.__getitem__, words), np.int64, len(words)), -1) for words in map(str.split, texts)] or [np.empty(0, np.int64)])
     for off in range(1, WINDOW + 1):
         a, b = stream[:-off], stream[off:]
         ok = (a >= 0) & (b >= 0)
@@ -141,8 +141,7 @@ def probabilities(x: np.ndarray, m: Model) -> np.ndarray:
 
 def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
     """Vectors, network and temperature. Without labels of both kinds the score is their share (or a half)."""
-    texts = [t.split() for t, _ in sample]
-    ids, vectors = word_vectors(texts)
+    ids, vectors = word_vectors([t for t, _ in sample])
     look = TokenIds(ids)
     y = np.array([label for _, label in sample], np.float64)
     x = np.stack([pooled(token_rows(t, look, ids[REPEATED]), vectors) for t, _ in sample]).astype(np.float64) if sample else np.zeros((0, 2 * DIMENSIONS + 2))
@@ -178,7 +177,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, bound: int = SAMPLE_ROWS) -> Model:
-    return fit(labelled_sample(docs, labels, "quality", modulus, held_out, bound))
+    return fitted(labelled_sample(docs, labels, "quality", modulus, held_out, bound), fit)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

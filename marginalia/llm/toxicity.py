@@ -19,13 +19,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, labelled_sample, rows_kept, text_slices, texts_of
+from marginalia.llm.common import column_of, fitted, labelled_sample, rows_kept, text_slices, texts_of
 
 #: Labelled documents that the lexicon and the curve are fitted on, at most about.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: A lexicon entry has this precision in the sample, and marks so many unexplained toxic documents that, by
 #: chance, fewer than this many entries would.
 LEAST_PRECISION, CHANCE_ENTRIES = 0.9, 0.05
@@ -200,33 +201,35 @@ def least_support(sizes: Counter[int], share: float) -> int:
     return k
 
 
+def _keys(text: str) -> set[str]:
+    """A text's words, and their beginnings with a star."""
+    words = {_plain(w) for w in text.split()} - {""}
+    return words | {f"{w[:n]}*" for w in words for n in PREFIX_LENGTHS if len(w) > n}
+
+
 def induce(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings that mark toxic texts, each with a weight of at most 1: in turn the entry
     that marks most texts not yet explained, so that copies of a text don't make entries of all its words.
     """
-    toxic: list[set[str]] = []
-    clean: Counter[str] = Counter()
-    clean_texts, toxic_texts = set(), set()
-    for text, label in sample:
-        if text in (toxic_texts if label else clean_texts):
-            continue
-        (toxic_texts if label else clean_texts).add(text)
-        words = {_plain(w) for w in text.split()} - {""}
-        keys = words | {f"{w[:n]}*" for w in words for n in PREFIX_LENGTHS if len(w) > n}
-        if label:
-            toxic.append(keys)
-        else:
-            clean.update(keys)
+    toxic, clean_texts = sorted({t for t, label in sample if label}), {t for t, label in sample if not label}
+    hashed = [np.array([xxhash.xxh64_intdigest(k) for k in _keys(t)], np.uint64) for t in toxic]
+    values, sizes = np.unique(np.concatenate(hashed), return_counts=True) if toxic else (np.empty(0, np.uint64), np.empty(0, int))
+    support = least_support(Counter(sizes.tolist()), len(toxic) / max(1, len(toxic) + len(clean_texts)))
+    often = set(values[sizes >= support].tolist())
+    del hashed, values
     holders: dict[str, list[int]] = defaultdict(list)
-    for i, keys in enumerate(toxic):
-        for k in keys:
-            holders[k].append(i)
-    support = least_support(Counter(map(len, holders.values())), len(toxic) / max(1, len(toxic) + len(clean_texts)))
-    open_count = {k: len(v) for k, v in holders.items() if len(v) >= support and len(v) / (len(v) + clean[k]) >= LEAST_PRECISION}
+    for i, t in enumerate(toxic):
+        for k in _keys(t):
+            if xxhash.xxh64_intdigest(k) in often:
+                holders[k].append(i)
+    clean: Counter[str] = Counter()
+    for t in clean_texts:
+        clean.update(k for k in _keys(t) if k in holders)
+    open_count = {k: len(v) for k, v in holders.items() if len(v) / (len(v) + clean[k]) >= LEAST_PRECISION}
     explained: set[int] = set()
     words, prefixes = {w: 1.0 for w in INSULT_SEEDS}, {}
-    for i, keys in enumerate(toxic):
-        if not keys.isdisjoint(words):
+    for i, t in enumerate(toxic):
+        if not words.keys().isdisjoint(_keys(t)):
             explained.add(i)
     for k in list(open_count):
         open_count[k] = sum(i not in explained for i in holders[k])
@@ -276,7 +279,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, bound: int = SAMPLE_ROWS) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", modulus, held_out, bound))
+    return fitted(labelled_sample(docs, labels, "toxic", modulus, held_out, bound), fit)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
