@@ -185,8 +185,8 @@ def label_blocks(blocks: list[Block]) -> None:
             b.label = "good"
         elif len({labels[j] for j in sides}) == 1:
             b.label = labels[sides[0]]
-        else:  # a heading goes with what follows, other blocks with the nearer side
-            b.label = labels[after] if b.heading else labels[min(sides, key=lambda j: (abs(j - i), labels[j] == "good"))]
+        else:  # a heading goes with what follows, other blocks with the nearer side, or the one before
+            b.label = labels[after] if b.heading else labels[min(sides, key=lambda j: (abs(j - i), j))]
 
 
 def main_text(page: str) -> str:

@@ -163,7 +163,8 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest binary, width int, body binary").parquet(f"{path}/packs/kind=chunk")
+    packs = spark.read.schema("digest binary, width int, body binary, kind string").parquet(f"{path}/packs")
+    return packs.where("kind = 'chunk'").select("digest", "width", "body")
 
 
 def crc_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

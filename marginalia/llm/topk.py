@@ -52,6 +52,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     bound = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if bound >= 2**62:
+        raise OverflowError("scores don't fit a long")
     return a @ b.T
 
 
@@ -68,6 +70,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slices: int = 2) ->
     of its own id; all, if there are fewer. ``vectors`` holds vec_id and ints, as of ``integer_vectors``;
     ``is_query`` picks the queries. Vectors of different length count as filled up with zeros. Equal scores
     go to the smaller vec_id; rows that repeat a vec_id count each. No queries or no candidates: no rows.
+    Scores that a long can't hold are an error.
     """
     spark = vectors.sparkSession
     rows = written(vectors.withColumn("is_query", is_query), "top-k-vectors")
