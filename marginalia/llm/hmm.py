@@ -238,23 +238,33 @@ def first_chain(lexicon: Lexicon, seed: int = 11) -> Chain:
 
 
 def baum_welch(docs: DataFrame, lexicon_shared, chain: Chain, rounds: int = ROUNDS) -> Chain:
-    """``rounds`` passes over all texts of ``docs``."""
+    """``rounds`` passes over all texts of ``docs``, whose classes are written once, two bytes a word."""
     spark = docs.sparkSession
     states, classes = chain.emit.shape
     bounds = np.cumsum([0, states, states, states * states, states * classes])
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, table = Codes(lexicon_shared.value), class_table(lexicon_shared.value).astype("<u2")
+        for part in text_slices(batches, rows=SLICE_DOCS):
+            out = []
+            for text in utf8_of(part):
+                words = tokens(text)
+                words.append(END)
+                out.append(table[np.fromiter(map(look.__getitem__, words), np.int64, len(words))].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["classes"])
+
+    encoded = written(docs.select("text").mapInArrow(encode, "classes binary"), "lm-classes")
+
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(chain)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            look, table, chain = Codes(lexicon_shared.value), class_table(lexicon_shared.value), shared.value
+            chain = shared.value
             sums = [np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))]
-            for part in text_slices(batches, rows=SLICE_DOCS):
+            for part in text_slices(batches, "classes", rows=SLICE_DOCS):
                 windows, fresh = [], []
-                for text in utf8_of(part):
-                    words = tokens(text)
-                    words.append(END)
-                    own = table[np.fromiter(map(look.__getitem__, words), np.int64, len(words))]
+                for own in column_of(part, "classes").to_pylist():
+                    own = np.frombuffer(own, "<u2").astype(np.int64)
                     for at in range(0, len(own), TRAIN_WINDOW):
                         windows.append(own[at : at + TRAIN_WINDOW])
                         fresh.append(at == 0)
@@ -265,7 +275,7 @@ def baum_welch(docs: DataFrame, lexicon_shared, chain: Chain, rounds: int = ROUN
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["cell", "v"])
 
         flat = np.zeros(bounds[-1])
-        for r in docs.select("text").mapInArrow(expect, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toLocalIterator():  # states x classes cells
+        for r in encoded.mapInArrow(expect, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toLocalIterator():  # states x classes cells
             flat[r["cell"]] = r["v"]
         first, middle, move, emit = (flat[a:b] for a, b in zip(bounds, bounds[1:]))
         smooth = lambda x, by: (x + by) / (x + by).sum(-1, keepdims=True)
