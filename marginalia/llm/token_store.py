@@ -45,19 +45,22 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a stream end; the last is its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash lets a chunk end. Streams may stand one behind the other: a hash looks
+    back on fewer ids than ``LEAST``, before which no chunk of a stream ends."""
     h = _mixed(ids)
     for r in range(ROUNDS):  # h[i] over 2**(r+1) ids: the newest id's hash plus the older ones', shifted
         back = 1 << r
         older = np.zeros_like(h)
         older[back:] = h[:-back] << np.uint32(back)
         h = h + older
+    return np.flatnonzero((h >> np.uint32(8)) & MASK == 0) + 1
+
+
+def chunk_ends(places: list[int], n: int) -> list[int]:
+    """Where the chunks of a stream of ``n`` ids end, given its candidates; the last is ``n``."""
     ends, begin = [], 0
-    for at in (np.flatnonzero((h >> np.uint32(8)) & MASK == 0) + 1).tolist():
+    for at in places if n > LEAST else ():
         while at - begin > MOST:
             begin += MOST
             ends.append(begin)
@@ -67,8 +70,12 @@ def cut_points(ids: np.ndarray) -> list[int]:
     while n - begin > MOST:
         begin += MOST
         ends.append(begin)
-    ends.append(n)
-    return ends
+    return [*ends, n] if n else []
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Where the chunks of a stream end; the last is its length."""
+    return chunk_ends(candidates(ids).tolist(), len(ids))
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -95,12 +102,18 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
         encode, sent = encoder(vocabulary).encode, set()
         for part in text_slices(batches, rows=1024):
             rows: list[tuple] = []
-            for doc_id, raw in zip(column_of(part, "doc_id").to_pylist(), encode(texts_of(part))):
-                ids = np.frombuffer(raw + end, "<u4")
-                width = 2 if int(ids.max()) < 1 << 16 else 4
-                body = ids.astype(f"<u{width}").tobytes()
+            streams = [raw + end for raw in encode(texts_of(part))]
+            sizes = np.array([len(x) // 4 for x in streams])
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            joined = np.frombuffer(b"".join(streams), "<u4")
+            tops = np.maximum.reduceat(joined, starts[:-1]).tolist()
+            places = candidates(joined)
+            bounds = np.searchsorted(places, starts, "right").tolist()
+            for i, doc_id in enumerate(column_of(part, "doc_id").to_pylist()):
+                n, width = int(sizes[i]), 2 if tops[i] < 1 << 16 else 4
+                body = joined[starts[i] : starts[i + 1]].astype(f"<u{width}").tobytes()
                 digests, lengths, begin = [], [], 0
-                for stop in cut_points(ids):
+                for stop in chunk_ends((places[bounds[i] : bounds[i + 1]] - starts[i]).tolist(), n):
                     data = body[width * begin : width * stop]
                     digest = hashlib.blake2b(data, digest_size=DIGEST, salt=bytes([width])).digest()
                     digests.append(digest)
@@ -111,7 +124,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
                             sent.add(digest)
                         rows.append(("chunk", int.from_bytes(digest[:8], "little", signed=True), None, None, None, None, None, digest, width, data))
                 route = zlib.crc32(str(doc_id).encode())
-                rows.append(("doc", route, doc_id, len(ids), b"".join(digests), np.array(lengths, "<u2").tobytes(), merkle_root(digests), None, None, None))
+                rows.append(("doc", route, doc_id, n, b"".join(digests), np.array(lengths, "<u2").tobytes(), merkle_root(digests), None, None, None))
             columns = list(zip(*rows))
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
             names = ["kind", "route", "doc_id", "n_tokens", "digests", "lengths", "root", "digest", "width", "body"]

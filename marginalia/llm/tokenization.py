@@ -26,13 +26,13 @@ _ODD_WIDE = re.compile("[" + "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *rang
 _RUNS = ["  ", " \n", "\n ", "\n\n"]
 
 
-class _Units(dict):
-    """Encoded units; ``extra`` holds those of the batch that are not kept."""
-
-    extra: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        return self.extra[unit]
+def _pieces(ids: np.ndarray, ends: list[int], skip: int) -> list[bytes]:
+    """The bytes of the ids up to each end; ``skip`` ids stand between two pieces."""
+    data, begin, out = ids.tobytes(), 0, []
+    for end in ends:
+        out.append(data[4 * begin : 4 * end])
+        begin = end + skip
+    return out
 
 
 class UnitEncoder:
@@ -53,21 +53,43 @@ class UnitEncoder:
         # A special token's string parts a text into pieces that are encoded each by itself.
         self.part = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
         self.part_id = self.tokenizer.token_to_id(self.part)
-        self.units = _Units()
+        # Tokens that begin a unit (byte-level) or end one (word ends), by id.
+        tokens = self.tokenizer.get_vocab()
+        self.marks = np.zeros(max(tokens.values()) + 1, bool)
+        for token, i in tokens.items():
+            self.marks[i] = token.startswith("Ġ") if self.keeps_spaces else token.endswith("</w>")
+        self.units: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, units: list[str]) -> list[bytes]:
-        """The ids of many short units by one call."""
-        ids = np.array(self.tokenizer.encode_batch_fast([self.part.join(units)], add_special_tokens=False)[0].ids, "<u4")
-        data, begin, out = ids.tobytes(), 0, []
-        for end in np.flatnonzero(ids == self.part_id).tolist():
-            out.append(data[4 * begin : 4 * end])
-            begin = end + 1
-        out.append(data[4 * begin :])
+    def _each(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of many short units by two calls: one for units of ASCII letters, one for the others."""
+        letters, others = [], []
+        for u in units:
+            word = u[1:] if self.keeps_spaces and u[0] == " " else u
+            plain = word.isascii() and word.isalpha() and (len(word) < len(u)) == self.keeps_spaces
+            (letters if plain else others).append(u)
+        out = self._parted(others) if others else {}
+        if letters:
+            found = self._marked(letters)
+            out |= self._parted(letters) if found is None else found
         return out
 
+    def _marked(self, units: list[str]) -> dict[str, bytes] | None:
+        """Units that the library doesn't cut further, told apart by the marks of their tokens; None where the
+        marks don't give one piece for each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([("" if self.keeps_spaces else " ").join(units)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.marks[ids])
+        ends = np.append(at[1:], len(ids)) if self.keeps_spaces else at + 1
+        if len(ends) != len(units) or int(ends[-1]) != len(ids):
+            return None
+        return dict(zip(units, _pieces(ids, ends.tolist(), 0)))
+
+    def _parted(self, units: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([self.part.join(units)], add_special_tokens=False)[0].ids, "<u4")
+        return dict(zip(units, _pieces(ids, [*np.flatnonzero(ids == self.part_id).tolist(), len(ids)], 1)))
+
     def _split(self, text: str) -> list[str]:
         if not self.keeps_spaces:
             return (text.lower() if text.isascii() else text).split()
@@ -87,29 +109,34 @@ class UnitEncoder:
         return not text.isascii() and _ODD_WIDE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        out = [b""] * len(texts)
         whole: list[int] = []
+        gaps: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
         unseen: set[str] = set()
+        known = self.units
         for i, text in enumerate(texts):
             if self._odd(text):
                 whole.append(i)
+                continue
+            units = self._split(text)
+            parts = list(map(known.get, units))
+            if None in parts:
+                missing = [(at, units[at]) for at, part in enumerate(parts) if part is None]
+                unseen.update(u for _, u in missing)
+                gaps.append((i, parts, missing))
             else:
-                units = self._split(text)
-                unseen.update(units)
-                cut.append((i, units))
-        known = self.units
-        fresh = [u for u in unseen if u not in known]
-        known.extra = dict(zip(fresh, self._each(fresh))) if fresh else {}
+                out[i] = b"".join(parts)
+        fresh = self._each(list(unseen)) if unseen else {}
+        for i, parts, missing in gaps:
+            for at, unit in missing:
+                parts[at] = fresh[unit]
+            out[i] = b"".join(parts)  # type: ignore[arg-type]
         if len(known) < CACHE_UNITS:
-            known.update((u, b) for u, b in known.extra.items() if len(u) <= CACHED_CHARS)
-        look = known.__getitem__
-        for i, units in cut:
-            out[i] = b"".join(map(look, units))
+            known.update((u, b) for u, b in fresh.items() if len(u) <= CACHED_CHARS)
         if whole:
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
-        return out  # type: ignore[return-value]
+        return out
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
