@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import chunking, tables
+from marginalia.operators import chunking, ranking, tables
 from marginalia.sources import files
 from marginalia.streaming import sessions
 
@@ -71,3 +71,26 @@ def test_files_are_read_parsed_and_rewritten(spark, tmp_path):
     for _ in range(2):
         files.write_chunks(chunks, str(tmp_path / "chunks"))
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == 1
+
+
+def test_expanded_hits_take_the_first_place_and_keep_facts_in_order(spark):
+    hits = [
+        (1, 0, 1, "p_fact_0", "p", None, "f0"), (1, 0, 2, "o_fact_0", "o", None, "orphan"), (1, 0, 3, "s_fact_0", "s", "kept", "f2"),
+        (1, 1, 1, "p", None, None, "raw p"), (1, 2, 1, "p_fact_1", "p", None, "f1"), (1, 2, 2, "p_fact_0", "p", None, "f0"), (1, 2, 3, "z", None, None, "raw z"),
+    ]
+    df = spark.createDataFrame(hits, "qid int, source int, rank int, chunk_id string, parent_id string, parent_text string, text string")
+    got = ranking.expanded(df, spark.createDataFrame([("p", "raw p"), ("z", "raw z")], "chunk_id string, text string")).orderBy("pos").collect()
+    assert [(r["result_id"], r["text"], r["facts"]) for r in got] == [("p", "raw p", ["f0", "f1"]), ("o_fact_0", "orphan", ["orphan"]), ("s", "kept", ["f2"]), ("z", "raw z", [])]
+    assert ranking.expanded(df.limit(0), df.select("chunk_id", "text")).count() == 0
+
+
+def test_priority_keeps_all_where_nothing_scores(spark):
+    rows = [(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 2, 20), (3, 1, 24), (3, 2, 25), (3, 3, 40), (4, 1, 19), (4, 2, 0)]
+    got = ranking.prioritized(spark.createDataFrame(rows, "qid int, pos long, score int")).orderBy("qid", "pos").collect()
+    assert [(r["qid"], r["score"]) for r in got] == [(1, 0), (1, 0), (2, 20), (3, 40), (3, 25), (4, 19), (4, 0)]
+
+
+def test_subject_scores_of_empty_and_null_texts(spark):
+    score = ranking.subject_score(F.col("t"), ["red car"], ["red", "car"], ["red"])
+    got = [r[0] for r in spark.createDataFrame([("red car",), ("RED-CAR",), ("red",), ("",), (None,)], "t string").select(score).collect()]
+    assert got == [24 + 3 + 12 + 20, 24 + 3 + 12 + 20, 3, 0, 0]
