@@ -104,6 +104,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed:
     return rows.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_key(*names: str) -> Column:
+    """A hash of the named columns that tells nulls apart."""
+    return F.xxhash64(*names, F.concat(*(F.col(n).isNull().cast("string") for n in names)))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which one stays of each component in ``rows`` (doc_id, row: their ``row_key`` of
+    doc_id and text, component): the smallest doc_id, null last.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    kept = rows.groupBy("component").agg(least.alias("least")).select(F.col("least.row").alias("row_kept"))
+    nth = F.row_number().over(Window.partitionBy("row_kept").orderBy(F.xxhash64(*docs.columns)))
+    stay = docs.withColumn("row_kept", row_key("doc_id", "text")).join(kept, "row_kept", "left_semi")
+    return stay.withColumn("nth_of_row", nth).where("nth_of_row = 1").select(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
     """The documents of which one stays of each component (its smallest doc_id), in the columns of ``docs``.
 
