@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import written
+from marginalia.llm.simhash import row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Signs that prose hardly has; their share lowers a document's quality weight.
@@ -51,14 +52,14 @@ def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     return levels.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, most: float = 3.0, seed: int = 29) -> DataFrame:
+def mix(docs: DataFrame, weight: Column | None = None, most: float = 3.0, seed: int = 29, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size (words), source_size, target of the source, taken: the document's words that
     the mix takes, repeats counted (whole epochs, then one more time, or a beginning, if it is drawn).
 
     ``weight``: a positive quality weight per row; the default looks at the text's signs. A null text has
     size 0 and takes 0; a null source is a source of its own. Rows that repeat a doc_id are drawn next to
     one another. Documents without words take 0; an empty table gives an empty result. Reruns agree. Other columns are not
-    looked at.
+    looked at; those in ``carried`` come along behind.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -69,6 +70,7 @@ def mix(docs: DataFrame, weight: Column | None = None, most: float = 3.0, seed:
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
             # -ln(u) / weight, mapped to 0..1 in the same order
             (1 - F.pow(uniform, 1 / (quality_weight(text) if weight is None else weight))).alias("key"),
+            *carried,
         ),
         "mixing-sizes",
     )
@@ -92,22 +94,26 @@ def mix(docs: DataFrame, weight: Column | None = None, most: float = 3.0, seed:
 
     joined = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     out = ["doc_id", F.col("d.source").alias("source"), "size", "source_size", "target"]
-    decided = joined.where(F.col("range") != F.col("last_range")).select(*out, (F.col("size") * (F.col("epochs") + (F.col("range") < F.col("last_range")).cast("long"))).alias("taken"))
-    within = Window.partitionBy("d.source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    taken = lambda words: [*out, words.alias("taken"), *carried]
+    decided = joined.where(F.col("range") != F.col("last_range")).select(*taken(F.col("size") * (F.col("epochs") + (F.col("range") < F.col("last_range")).cast("long"))))
+    within = Window.partitionBy("d.source").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    ending = joined.where(F.col("range") == F.col("last_range")).select(*out, (F.col("size") * F.col("epochs") + F.greatest(F.lit(0), F.least(F.col("size"), left))).alias("taken"))
+    ending = joined.where(F.col("range") == F.col("last_range")).select(*taken(F.col("size") * F.col("epochs") + F.greatest(F.lit(0), F.least(F.col("size"), left))))
     return decided.unionByName(ending)
 
 
 def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
     """The mix as documents, in the columns of ``docs``: each whole take is a row, and a part of a
     document is a row with the text's first words, a space between them. Documents that the mix doesn't take go.
+    Rows are known by doc_id, source and text, so ids may repeat or lack; of rows alike in all three, each has its own take.
     """
-    taken = mix(docs, most=float(most)).select("doc_id", "size", "taken").groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    keyed = docs.withColumn("row_mixed", row_key("doc_id", "source", "text"))
+    takes = mix(keyed, most=float(most), carried=("row_mixed",)).groupBy("row_mixed").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("takes"))
     names = docs.columns
     part = F.col("taken") % F.col("size")
     copies = F.expr("CASE WHEN size > 0 AND taken > 0 THEN sequence(1, CAST(ceil(taken / size) AS INT)) END")
-    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(copies))
+    nth = F.row_number().over(Window.partitionBy("row_mixed").orderBy(F.xxhash64(*names)))
+    rows = keyed.join(takes, "row_mixed").withColumn("own", F.element_at("takes", nth)).select(*(F.col(f"`{n}`") for n in names), "own.taken", "own.size").withColumn("copy", F.explode(copies))
     is_part = (part > 0) & (F.col("copy") == F.ceil(F.col("taken") / F.col("size")))
     words = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     beginning = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")

@@ -46,13 +46,18 @@ def fingerprint(utf8: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) for every row."""
+    return _fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), "long", shingle, seed)
+
+
+def _fingerprints(docs: DataFrame, id_type: str, shingle: int, seed: int) -> DataFrame:
+    """As ``fingerprints``, for ids of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in utf8_of(part)], np.uint64)
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 #: A half that more fingerprints share is split further; this bounds a bucket, it loses no pair.
@@ -120,13 +125,13 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return stay.withColumn("nth_of_row", nth).where("nth_of_row = 1").select(*docs.columns)
 
 
-def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents of which one stays of each component (its smallest doc_id), in the columns of ``docs``.
+def deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+    """The documents of which one stays of each component, in the columns of ``docs``: its smallest doc_id, null last.
 
-    Of rows that repeat the doc_id that stays, one stays. Documents without an id stay only if all of their
-    component lack one.
+    Rows are told apart by doc_id and text, components by a fingerprint: rows that share a doc_id, or
+    lack one, each go by their own text's component.
     """
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.withColumn("nth_of_id", nth).where("nth_of_id = 1").select(*docs.columns)
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row")).alias("doc_id"), "text")
+    rows = written(_fingerprints(keyed, "struct<doc_id: long, row: long>", shingle, seed).select("doc_id.*", "fp"), "simhash-fingerprints")
+    roots = written(connected_components(links(rows.select("fp").distinct(), distance)), "simhash-roots").withColumnRenamed("node", "fp")
+    return one_of_each(docs, rows.join(roots, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("component")))
