@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,6 +40,25 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks by bucket of document_id; writing a document's bucket again replaces it."""
-    bucketed = chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
-    bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Adds chunks to the collection at ``path``, by bucket of document_id; a document written again replaces its
+    chunks, all other documents stay. ``buckets`` and the type of document_id must not change between
+    writes, and one write runs at a time. The new buckets are written whole beside the old ones before they replace them.
+    """
+    spark = chunks.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    bucketed = lambda rows: rows.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
+    try:
+        chunks.write.parquet(f"{staging}/new")
+        new = merged = spark.read.schema(chunks.schema).parquet(f"{staging}/new")
+        touched = [r["bucket"] for r in bucketed(new).select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        if system.globStatus(hadoop(f"{path}/bucket=*")):
+            old = spark.read.option("mergeSchema", "true").parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+            ids = new.select(F.col("document_id").alias("new_id")).distinct()
+            merged = old.join(ids, F.col("document_id").eqNullSafe(F.col("new_id")), "left_anti").unionByName(new, allowMissingColumns=True)
+        bucketed(merged).write.parquet(f"{staging}/merged")
+        merged = spark.read.schema(bucketed(merged).schema).parquet(f"{staging}/merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        system.delete(hadoop(staging), True)
