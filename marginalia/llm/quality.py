@@ -2,7 +2,8 @@
 
 Each token has a sparse random index vector. A token's word vector sums the index vectors of its
 neighbours in the sample; tokens that the sample doesn't hold often enough stand for their shape. A
-document is the mean and the spread of its tokens' vectors. The network is trained with numpy on a bounded
+document is the mean and the spread of its tokens' vectors. A word of more than 64 characters, or of more
+runs than a shape shows, is cut into consecutive pieces, each a token of its own, so the whole text counts. The network is trained with numpy on a bounded
 sample of labelled documents, and a temperature fitted on a part that it didn't see calibrates its
 probabilities.
 """
@@ -33,14 +34,49 @@ REPEATED = "\x00same"
 _RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+")
 
 
-def shape(word: str) -> str:
+#: Characters and runs that a token has at most.
+LONGEST, MOST_RUNS = 64, 8
+
+
+def _kind(ch: str) -> str:
+    return "a" if ch.islower() else "A" if ch.isupper() else "9" if ch.isdigit() else ch
+
+
+def shape(token: str) -> str:
     """Runs of small letters, capitals and digits become one a, A or 9; runs of another sign one sign."""
     out = []
-    for ch in word[:64]:
-        c = "a" if ch.islower() else "A" if ch.isupper() else "9" if ch.isdigit() else ch
+    for ch in token:
+        c = _kind(ch)
         if not out or out[-1] != c:
             out.append(c)
-    return "\x00" + "".join(out[:8])
+    return "\x00" + "".join(out)
+
+
+class Pieces(dict):
+    """Word -> its consecutive pieces of at most LONGEST characters and MOST_RUNS runs."""
+
+    def __missing__(self, word: str) -> list[str]:
+        found, begin, runs, last = [], 0, 0, None
+        for i, ch in enumerate(word):
+            c = _kind(ch)
+            if c != last:
+                runs, last = runs + 1, c
+            if runs > MOST_RUNS or i - begin == LONGEST:
+                found.append(word[begin:i])
+                begin, runs = i, 1
+        found.append(word[begin:])
+        if len(self) < MEMO_WORDS and len(word) <= 40:
+            self[word] = found
+        return found
+
+
+_PIECES = Pieces()
+
+
+def tokens(text: str) -> list[str]:
+    """A text's words, cut into pieces where they are long."""
+    words = text.split()
+    return [p for w in words for p in (_PIECES[w] if len(w) > MOST_RUNS else (w,))]
 
 
 def index_vector(token: str) -> np.ndarray:
@@ -80,7 +116,7 @@ class TokenIds(dict):
 
 def token_rows(text: str, ids: TokenIds, same: int) -> np.ndarray:
     """Rows of the vectors for a text's tokens; a token equal to the one before it adds the row ``same``."""
-    words = text.split()
+    words = tokens(text)
     rows = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
     if len(rows) > 1:
         equal = np.flatnonzero(rows[1:] == rows[:-1])
@@ -108,7 +144,7 @@ def pooled(rows: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    counts = Counter(w for t in texts for w in t.split())
+    counts = Counter(w for t in texts for w in tokens(t))
     shapes = Counter()
     for w, c in counts.items():
         shapes[shape(w)] += c
@@ -118,7 +154,7 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     ids = {w: i for i, w in enumerate(names)}
     index = np.stack([index_vector(w) for w in names])
     look, context = TokenIds(ids), np.zeros((len(names), DIMENSIONS), np.float64)
-    stream = np.concatenate([np.append(np.fromiter(map(look.__getitem__, words), np.int64, len(words)), -1) for words in map(str.split, texts)] or [np.empty(0, np.int64)])
+    stream = np.concatenate([np.append(np.fromiter(map(look.__getitem__, words), np.int64, len(words)), -1) for words in map(tokens, texts)] or [np.empty(0, np.int64)])
     for off in range(1, WINDOW + 1):
         a, b = stream[:-off], stream[off:]
         ok = (a >= 0) & (b >= 0)
