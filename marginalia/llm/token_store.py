@@ -159,11 +159,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
     )
     remove_path(spark, f"{path}/packs/kind=doc")
 
-    parts = read_recipes(spark, path).groupBy("part").agg(
-        F.count("*").alias("docs"),
-        F.sum("n_tokens").alias("tokens"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.hex("root").alias("root")))), lambda r: r["root"]), ""), 256).alias("part_root"),
-    )
+    parts = _parts(spark, path)
     base, rows_out = 0, []
     for r in sorted(parts.collect(), key=lambda r: r["part"]):  # one row for each file part
         rows_out.append((r["part"], base, r["docs"], r["tokens"], r["part_root"]))
@@ -171,6 +167,28 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
     spark.createDataFrame(rows_out, "part int, base long, docs long, tokens long, part_root string").coalesce(1).write.parquet(f"{path}/manifest")
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """part, docs, tokens and part_root, worked out from the recipes."""
+    return read_recipes(spark, path).groupBy("part").agg(
+        F.count("*").alias("docs"),
+        F.sum("n_tokens").alias("tokens"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.hex("root").alias("root")))), lambda r: r["root"]), ""), 256).alias("part_root"),
+    )
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """An error if the recipes aren't those of the manifest: a part lost, added or changed, or a base that doesn't follow."""
+    manifest = spark.read.schema("part int, base long, docs long, tokens long, part_root string").parquet(f"{path}/manifest")
+    found = {r["part"]: (r["docs"], r["tokens"], r["part_root"]) for r in _parts(spark, path).collect()}  # one row for each file part
+    base = 0
+    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
+        if found.pop(r["part"], None) != (r["docs"], r["tokens"], r["part_root"]) or r["base"] != base:
+            raise ValueError(f"part {r['part']} of the recipes isn't what the manifest says")
+        base += r["tokens"]
+    if found:
+        raise ValueError(f"the manifest lacks the recipes' parts {sorted(found)}")
+
+
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("part int, idx long, local_start long, doc_id long, n_tokens long, digests binary, lengths binary, root binary").parquet(f"{path}/recipes")
 
@@ -216,14 +234,19 @@ def crc_shift(ids: np.ndarray) -> np.ndarray:
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each chunk of each recipe: its address, and the ids that follow it in the document."""
+    """One row for each chunk of each recipe: its address, and the ids that follow it in the document. A recipe whose
+    addresses don't give its Merkle root is an error."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
                 lengths = [np.frombuffer(x, "<u2").astype(np.int64) for x in column_of(part, "lengths").to_pylist()]
-                digests = [x[i : i + DIGEST] for x in column_of(part, "digests").to_pylist() for i in range(0, len(x), DIGEST)]
+                recipes = [[x[i : i + DIGEST] for i in range(0, len(x), DIGEST)] for x in column_of(part, "digests").to_pylist()]
+                for doc_id, leaves, root in zip(*(column_of(part, c).to_pylist() if c else recipes for c in ("doc_id", "", "root"))):
+                    if merkle_root(leaves) != root:
+                        raise ValueError(f"the recipe of document {doc_id} is damaged")
+                digests = [x for leaves in recipes for x in leaves]
                 of = np.repeat(np.arange(part.num_rows), [len(x) for x in lengths])
                 own = [column_of(part, c).take(pa.array(of)) for c in ("part", "idx", "doc_id", "local_start", "n_tokens")]
                 seq = np.concatenate([np.arange(len(x)) for x in lengths])
@@ -234,9 +257,10 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
-    """Reads all chunks back, checks them against their addresses, and returns per document, in the
+    """Checks the recipes against their Merkle roots and the manifest, reads all chunks back, checks them
+    against their addresses, and returns per document, in the
     store's terms: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
-    integers). A missing or damaged chunk is an error. No body is shuffled: a document's checksum
+    integers). A missing or damaged chunk, recipe or part is an error. No body is shuffled: a document's checksum
     follows from its chunks' checksums and lengths.
     """
 
@@ -259,6 +283,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
             moved = crc_times(crc_shift(column_of(batch, "after").to_numpy()), crc.to_numpy().astype(np.uint32))
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("part", "idx", "doc_id", "local_start", "n_tokens", "n")), pa.array(moved.astype(np.int64))], ["part", "idx", "doc_id", "local_start", "n_tokens", "n", "moved"])
 
+    check_manifest(spark, path)
     chunks = read_chunks(spark, path).mapInArrow(check, "digest binary, crc long, stored long")
     joined = _entries(spark, path).join(chunks, "digest", "left").select("part", "idx", "doc_id", "local_start", "n_tokens", "n", "after", "crc", "stored")
     moved = joined.mapInArrow(shift, "part int, idx long, doc_id long, local_start long, n_tokens long, n long, moved long")
