@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import flac, hmm, html_text, media, mixing, packing, quality, simhash, token_store, topk, toxicity
-from marginalia.llm.common import doc_remainder, scratch_path
+from marginalia.llm.common import doc_remainder, scratch_path, written
 from marginalia.llm.tokenization import vocabulary
 
 
@@ -60,7 +60,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.decode_media(media.encode_texts(_documents(spark, sf_dir)))
+    read = media.decode_media(written(media.encode_texts(_documents(spark, sf_dir)), "media", compression="zstd"))
     return read.select(
         "doc_id",
         "n_bytes",
