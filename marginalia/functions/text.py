@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Letters of the search alphabet: digits, Latin letters, Hangul syllables.
 HANGUL = "가-힣"
 #: Suffix particles that a query token loses, the first that matches.
-PARTICLES = "으로부터 에서부터 에게서 으로 에서 에게 까지 부터 처럼 보다 라고 이나 은 는 이 가 을 를 의 에 도 로 와 과 만".split()
+PARTICLES = "에게는 한테는 에서는 으로는 로는 에는 으로 에서 에게 한테 부터 까지 은 는 이 가 을 를 의 도 만 와 과 에 로".split()
 TOKEN = f"[0-9A-Za-z{HANGUL}]+"
 
 

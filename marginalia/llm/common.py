@@ -49,7 +49,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables, as of ``written``, that no later plan reads."""
+    for table in tables:
+        remove_path(table.sparkSession, table.scratch)
 
 
 def doc_remainder(doc_id: Column | str, modulus: int) -> Column:

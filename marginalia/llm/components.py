@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import written
-
-#: Rounds after which it gives up; each round at least halves the longest way, so this is never met.
-MOST_ROUNDS = 60
-
+from marginalia.llm.common import forget, written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
@@ -29,16 +25,16 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and root (the component's smallest node) for every node of the edges (a, b)."""
+    """node and root (the component's smallest node) for every node of the edges (a, b).
+
+    It ends at the fixed point; each round of both steps at least halves the longest way to a root, so there are few.
+    """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "components")
-    state = _state(edges)
-    for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
+    state, now = None, _state(edges)
+    while now != state and now[0]:
+        state, before = now, edges
         edges = written(_small_star(_large_star(edges)), "components")
+        forget(before)
         now = _state(edges)
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -1,10 +1,12 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 A vector's dimensions are cut into slices, so its score for a query is the sum of one local score from
-each slice. Phase 1: each part of the candidates lists, for each slice, its best entries, and the k-th best
-of their whole scores is a safe cutoff. Phase 2: the cutoff is broadcast; an entry whose whole score
-reaches it has a local score of at least its m-th part in one of m slices, so each part collects just
-those. Phase 3: the collected entries' remaining scores are resolved exactly.
+each slice. Phase 1: each slice lists, for each query, the entries of its best local scores; the whole scores of
+those few entries are worked out, and the k-th best of them is a safe cutoff. Phase 2: the cutoff is broadcast; an
+entry whose whole score reaches it has a local score of at least its m-th part in one of m slices, so each slice
+collects just those, and passes by entries that their length alone keeps below it. Phase 3: of the collected entries, those
+that can't reach the cutoff are dropped, and the remaining local scores, of slices that didn't collect them, are resolved
+exactly.
 
 Queries go in blocks of bounded size, one after the other, each against all candidates.
 """
@@ -18,19 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, written
+from marginalia.llm.common import column_of, forget, written
 
 #: Bytes of a block of queries, which is broadcast.
 BLOCK_BYTES = 16_000_000
-#: Candidates that are scored at a time.
-STEP = 2048
+#: Local scores (queries times candidates) that are held at a time; with few queries, at most STEP candidates.
+CELLS, STEP = 4_000_000, 2048
+LEAST = np.iinfo(np.int64).min
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """vec_id and ints: floor(scale * component). Null ids, and vectors that are null, empty or hold null
-    or non-finite components, are left out."""
+    """vec_id and ints: floor(scale * component). Null ids, and vectors that are null or hold null
+    or non-finite components, are left out; an empty vector stays, as one of zeros."""
     usable = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & usable).select(
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & usable).select(
         F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale)).alias("ints")
     )
 
@@ -52,8 +55,6 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     bound = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if bound >= 2**62:
-        raise OverflowError("scores don't fit a long")
     return a @ b.T
 
 
@@ -78,7 +79,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slices: int = 2) ->
     schema = "query_id long, rank int, vec_id long, score long"
     if not shape["queries"]:
         return spark.createDataFrame([], schema)
-    dims = shape["dims"]
+    dims = max(1, shape["dims"])
     edges = [dims * i // min(slices, dims) for i in range(min(slices, dims) + 1)]
     blocks = -(-shape["queries"] * dims * 8 // BLOCK_BYTES)
     results = []
@@ -91,67 +92,117 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slices: int = 2) ->
         for i, r in enumerate(asked):
             matrix[i, : len(r["ints"])] = r["ints"]
         queries = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in asked]), matrix))
-        results.append(written(_search(rows, queries, edges, k), "top-k-block").drop("at"))
+        found, cutoff = _search(rows, queries, edges, k)
+        results.append(written(found, "top-k-block").drop("at"))
+        queries.destroy()
+        cutoff.destroy()
+    forget(rows)
     found = results[0]
     for r in results[1:]:
         found = found.unionByName(r)
     return found
 
 
-def _search(rows: DataFrame, queries, edges: list[int], k: int) -> DataFrame:
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    """The rows' Euclidean lengths, rounded up a little."""
+    return np.sqrt((rows.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
+
+
+def _resolved(of: np.ndarray, at: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products of single pairs, some at a time."""
+    out = np.empty(len(of), np.int64)
+    step = max(1, CELLS // max(1, queries.shape[1]))
+    for i in range(0, len(of), step):
+        out[i : i + step] = (queries[of[i : i + step]] * vectors[at[i : i + step]]).sum(1)
+    return out
+
+
+def _search(rows: DataFrame, queries, edges: list[int], k: int) -> tuple[DataFrame, object]:
+    """A block's result, and the broadcast of its cutoffs."""
     spark, dims, parts = rows.sparkSession, edges[-1], len(edges) - 1
-    candidates = rows.select("vec_id", "ints")
+    candidates, cuts = rows.select("vec_id", "ints"), list(zip(edges, edges[1:]))
 
-    def local_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """ids, the local scores of each slice (queries x candidates), and which pairs are a query's own row."""
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         query_ids, matrix = queries.value
+        size, most = max(1, min(STEP, CELLS // len(query_ids))), dims * float(np.abs(matrix).max(initial=0))
         for batch in batches:
-            for begin in range(0, batch.num_rows, STEP):
-                part = batch.slice(begin, STEP)
-                ids, ints = column_of(part, "vec_id").to_numpy(), _matrix(column_of(part, "ints"), dims)
-                yield ids, [_products(matrix[:, a:b], ints[:, a:b]) for a, b in zip(edges, edges[1:])], query_ids[:, None] == ids[None, :]
+            for begin in range(0, batch.num_rows, size):
+                part = batch.slice(begin, size)
+                ints = _matrix(column_of(part, "ints"), dims)
+                if most * float(np.abs(ints).max(initial=0)) >= 2**62:
+                    raise OverflowError("scores don't fit a long")
+                yield column_of(part, "vec_id").to_numpy(), ints
 
-    def phase_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(queries.value[0])
-        of, ids, totals = (np.empty(0, np.int64) for _ in range(3))
-        for vec_ids, local, own in local_scores(batches):
-            total = sum(local)
-            listed = np.zeros(total.shape, bool)
-            for scores in local:
-                masked = np.where(own, np.iinfo(np.int64).min, scores)
-                top = np.argpartition(-masked, min(k, masked.shape[1]) - 1, axis=1)[:, :k]
-                np.put_along_axis(listed, top, True, axis=1)
-            q, c = np.nonzero(listed & ~own)
-            of, ids, totals = np.concatenate([of, q]), np.concatenate([ids, vec_ids[c]]), np.concatenate([totals, total[q, c]])
+    class Kept:
+        """Each query's k best entries so far."""
+
+        def __init__(self) -> None:
+            self.of, self.ids, self.totals = (np.empty(0, np.int64) for _ in range(3))
+
+        def add(self, of: np.ndarray, ids: np.ndarray, totals: np.ndarray) -> None:
+            of, ids, totals = np.concatenate([self.of, of]), np.concatenate([self.ids, ids]), np.concatenate([self.totals, totals])
             keep = _best(of, ids, totals, k)
-            of, ids, totals = of[keep], ids[keep], totals[keep]
-        ends = np.searchsorted(of, np.arange(n + 1))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(totals))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists], ["at", "scores"])
+            self.of, self.ids, self.totals = of[keep], ids[keep], totals[keep]
+
+    def phase_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (query_ids, matrix), kept = queries.value, Kept()
+        for ids, ints in steps(batches):
+            listed: list[np.ndarray] = []
+            for a, b in cuts:
+                local = _products(matrix[:, a:b], ints[:, a:b])
+                local[query_ids[:, None] == ids[None, :]] = LEAST
+                top = np.argpartition(-local, min(k, len(ids)) - 1, axis=1)[:, :k]
+                listed.append(np.arange(len(local))[:, None] * len(ids) + top)
+            of, at = np.divmod(np.unique(np.concatenate(listed, axis=None)), len(ids))
+            other = query_ids[of] != ids[at]
+            of, at = of[other], at[other]
+            kept.add(of, ids[at], _resolved(of, at, matrix, ints))
+        ends = np.searchsorted(kept.of, np.arange(len(query_ids) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept.totals))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(query_ids))), lists], ["at", "scores"])
 
     listed = candidates.mapInArrow(phase_one, "at long, scores array<long>").groupBy("at").agg(F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k).alias("best"))
-    cut = np.full(len(queries.value[0]), np.iinfo(np.int64).min)
+    cut = np.full(len(queries.value[0]), LEAST)
     for r in listed.collect():  # one row for each query of the block
         if len(r["best"]) == k:
             cut[r["at"]] = r["best"][-1]
     cutoff = spark.sparkContext.broadcast(cut)
 
     def phases_two_and_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tau = cutoff.value
-        share = np.where(tau == np.iinfo(np.int64).min, -np.inf, tau / parts)[:, None]
-        of, ids, totals = (np.empty(0, np.int64) for _ in range(3))
-        for vec_ids, local, own in local_scores(batches):
-            enough = local[0] >= share
-            for scores in local[1:]:
-                enough |= scores >= share
-            q, c = np.nonzero(enough & ~own)
-            total = sum(scores[q, c] for scores in local)
-            reached = total >= tau[q]
-            of, ids, totals = np.concatenate([of, q[reached]]), np.concatenate([ids, vec_ids[c[reached]]]), np.concatenate([totals, total[reached]])
-            keep = _best(of, ids, totals, k)
-            of, ids, totals = of[keep], ids[keep], totals[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(queries.value[0][of]), pa.array(ids), pa.array(totals)], ["at", "query_id", "vec_id", "score"])
+        (query_ids, matrix), tau, kept = queries.value, cutoff.value, Kept()
+        # whole numbers: a sum reaches the cutoff only if one of its parts reaches the share, rounded up
+        share = np.where(tau == LEAST, LEAST, -((-tau) // parts))
+        reach = [_lengths(matrix[:, a:b]) for a, b in cuts]
+        for ids, ints in steps(batches):
+            pairs, known = [], []
+            for s, (a, b) in enumerate(cuts):
+                far = np.flatnonzero((_lengths(ints[:, a:b])[None, :] * reach[s].max() >= share.min()).ravel())
+                asked = np.flatnonzero(reach[s] * _lengths(ints[far, a:b]).max(initial=0) >= share) if len(far) else far
+                if not len(far) or not len(asked):
+                    continue
+                local = _products(matrix[asked, a:b], ints[far, a:b])
+                q, c = np.nonzero(local >= share[asked][:, None])
+                pairs.append(asked[q] * len(ids) + far[c])
+                known.append((pairs[-1], s, local[q, c]))
+            if not pairs:
+                continue
+            collected = np.unique(np.concatenate(pairs))
+            of, at = np.divmod(collected, len(ids))
+            local, has = np.zeros((parts, len(collected)), np.int64), np.zeros((parts, len(collected)), bool)
+            for pair, s, scores in known:
+                where = np.searchsorted(collected, pair)
+                local[s, where], has[s, where] = scores, True
+            # what a slice didn't collect lies below the share
+            can = (query_ids[of] != ids[at]) & ((tau[of] == LEAST) | (local.sum(0) + (~has).sum(0) * (share[of] - 1) >= tau[of]))
+            of, at, local, has = of[can], at[can], local[:, can], has[:, can]
+            for s, (a, b) in enumerate(cuts):
+                remaining = np.flatnonzero(~has[s])
+                local[s, remaining] = _resolved(of[remaining], at[remaining], matrix[:, a:b], ints[:, a:b])
+            total = local.sum(0)
+            reached = total >= tau[of]
+            kept.add(of[reached], ids[at[reached]], total[reached])
+        yield pa.RecordBatch.from_arrays([pa.array(kept.of), pa.array(query_ids[kept.of]), pa.array(kept.ids), pa.array(kept.totals)], ["at", "query_id", "vec_id", "score"])
 
     found = candidates.mapInArrow(phases_two_and_three, "at long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("at", "query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("at", "query_id", "rank", "vec_id", "score"), cutoff

@@ -30,24 +30,11 @@ def column_labels(top: Column, sub: Column) -> Column:
     return F.transform(F.arrays_zip(filled.alias("a"), sub.alias("b")), lambda p: F.array_join(F.array_distinct(F.filter(F.array(p["a"], p["b"]), lambda x: ~is_empty_cell(x))), " "))
 
 
-def row_fact(caption: Column, subject: Column, labels: Column, cells: Column) -> Column:
-    """``caption: subject - label=value; ...`` of the cells that aren't empty, cut at the limit."""
-    pairs = F.filter(F.arrays_zip(labels.alias("k"), cells.alias("v")), lambda p: ~is_empty_cell(p["v"]) & (p["k"] != ""))
-    text = F.concat(caption, F.lit(": "), subject, F.lit(" - "), F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "; "))
-    return truncated_fact(text)
-
-
 def truncated_fact(fact: Column, limit: int = FACT_CHARS) -> Column:
     flat = F.trim(F.regexp_replace(fact, "\\s+", " "))
     return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("..."))).otherwise(flat)
 
 
-def fact_pairs(fact: Column) -> Column:
-    """The (k, v) pairs of a fact sentence."""
-    tail = F.regexp_replace(fact, "^.*? - ", "")
-    return F.transform(F.filter(F.split(tail, "; "), lambda p: F.contains(p, F.lit("="))), lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
-
-
 def index_key(document_id: Column, chunk_index: Column, fact_index: Column) -> Column:
     return F.when(fact_index.isNull(), F.concat_ws("_", document_id, chunk_index)).otherwise(F.concat_ws("_", document_id, chunk_index, F.lit("fact"), fact_index))
 

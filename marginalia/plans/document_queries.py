@@ -194,18 +194,6 @@ def forward_fill(t):
     return _filled(t)
 
 
-@query("q_row_facts", f"SELECT concat('7_0_fact_', CAST(n_nationkey AS VARCHAR)) AS chunk_id, concat('Nations: ', b, ' - region=', a, '; name=', b, '; code=', c) AS fact FROM ({_FILLED})")
-def row_facts(t):
-    fact = tables.row_fact(F.lit("Nations"), F.col("b"), F.array(F.lit("region"), F.lit("name"), F.lit("code")), F.array("a", "b", "c"))
-    return _filled(t).select(tables.index_key(F.lit("7"), F.lit("0"), F.col("n_nationkey").cast("string")).alias("chunk_id"), fact.alias("fact"))
-
-
-@query("q_fact_pairs", f"SELECT n_nationkey, unnest(['region', 'name', 'code']) AS k, unnest([a, b, c]) AS v FROM ({_FILLED})")
-def fact_pairs(t):
-    fact = tables.row_fact(F.lit("Nations"), F.col("b"), F.array(F.lit("region"), F.lit("name"), F.lit("code")), F.array("a", "b", "c"))
-    return _filled(t).select("n_nationkey", F.inline(tables.fact_pairs(fact)))
-
-
 @query("q_chunk_number", "SELECT k, TRY_CAST(nullif(regexp_extract(k, '(?:^|_)([0-9]+)$', 1), '') AS INTEGER) AS n FROM (SELECT concat(CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 3 = 0 THEN '_4' WHEN n_nationkey % 3 = 1 THEN '_2_fact_3' ELSE '_x' END) AS k FROM nation)")
 def chunk_number(t):
     n = F.col("n_nationkey")
