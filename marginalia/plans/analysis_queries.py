@@ -25,8 +25,12 @@ def questions(t):
     return rows.select((F.col("n_nationkey") * 100 + F.col("t.i")).alias("qid"), text.alias("text"), "n_name", "r_name")
 
 
+def _literal(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
 def _table(name: str, rows: list[tuple], columns: str) -> str:
-    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)})"
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)})"
 
 
 _PART = "|".join(PARTICLES)
