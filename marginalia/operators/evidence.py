@@ -45,12 +45,12 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
 
 
-def _weak(term: Column) -> Column:
-    return term.isin(*L.WEAK_SUBJECTS)
+def _weak(term: Column, weak: list[str]) -> Column:
+    return term.isin(*weak) if weak else F.lit(False)
 
 
-def strong(terms: Column) -> Column:
-    return F.filter(terms, lambda t: ~_weak(t))
+def strong(terms: Column, weak: list[str] = L.WEAK_SUBJECTS) -> Column:
+    return F.filter(terms, lambda t: ~_weak(t, weak))
 
 
 def _sum(values: Column) -> Column:
@@ -63,11 +63,11 @@ def _occurrences(low: Column, packed: Column, term: Column) -> Column:
     return F.when(F.length(key) == 0, 0).when(plain > 0, plain).when((F.length(search_form(term)) > 0) & F.contains(packed, search_form(term)), 1).otherwise(0)
 
 
-def subject_score(low: Column, packed: Column, primary: Column, subject: Column) -> Column:
+def subject_score(low: Column, packed: Column, primary: Column, subject: Column, weak: list[str] = L.WEAK_SUBJECTS) -> Column:
     """By occurrences of the primary and the subject terms in a text in lower case (``low``) and in its search form
     (``packed``); more if all subject terms occur and one of them isn't weak."""
-    part = lambda terms, most, weight, weak: _sum(F.transform(terms, lambda k: F.least(_occurrences(low, packed, k), F.lit(most)) * F.when(_weak(k), weak).otherwise(weight)))
-    all_found = (F.size(strong(subject)) > 0) & F.forall(subject, lambda k: _occurrences(low, packed, k) > 0)
+    part = lambda terms, most, weight, less: _sum(F.transform(terms, lambda k: F.least(_occurrences(low, packed, k), F.lit(most)) * F.when(_weak(k, weak), less).otherwise(weight)))
+    all_found = (F.size(strong(subject, weak)) > 0) & F.forall(subject, lambda k: _occurrences(low, packed, k) > 0)
     return (part(primary, 4, PRIMARY, WEAK_PRIMARY) + part(subject, 5, SUBJECT, WEAK_SUBJECT) + F.when(all_found, ALL_SUBJECTS).otherwise(0)).cast("int")
 
 

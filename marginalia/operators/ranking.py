@@ -9,31 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import search_form
-
-
-def occurrences(text: Column, term: Column) -> Column:
-    """How often the term stands in the text in lower case, without overlaps; one if only the search forms match."""
-    low, key = F.lower(text), F.lower(term)
-    plain = ((F.length(low) - F.length(F.replace(low, key, F.lit("")))) / F.length(key)).cast("int")
-    packed = (F.length(search_form(term)) > 0) & F.contains(search_form(text), search_form(term))
-    return F.when(F.length(key) == 0, 0).when(plain > 0, plain).when(packed, 1).otherwise(0)
+from marginalia.operators import evidence
+from marginalia.operators.analysis import words
 
 
 def subject_score(text: Column, primary: list[str], subject: list[str], weak: list[str]) -> Column:
     """24 for each of up to four occurrences of a primary term and 12 for each of up to five of a subject term (4 and 3
-    for weak terms); 20 more if all subject terms occur and at least one term that isn't weak. Null text: 0."""
+    for weak terms); 20 more if all subject terms occur and one of them isn't weak. Null text: 0."""
     own = F.coalesce(text, F.lit(""))
-    count = {k: occurrences(own, F.lit(k)) for k in {*primary, *subject}}
-    total = F.lit(0)
-    for terms, most, strong_weight, weak_weight in ((primary, 4, 24, 4), (subject, 5, 12, 3)):
-        for k in terms:
-            total = total + F.least(count[k], F.lit(most)) * (weak_weight if k in weak else strong_weight)
-    found, strong = F.lit(bool(subject)), F.lit(False)
-    for k in subject:
-        found = found & (count[k] > 0)
-    for k in count.keys() - set(weak):
-        strong = strong | (count[k] > 0)
-    return (total + F.when(found & strong, 20).otherwise(0)).cast("long")
+    # the text's forms are worked out once for all terms
+    forms = F.array(F.named_struct(F.lit("low"), F.lower(own), F.lit("packed"), search_form(own)))
+    return F.transform(forms, lambda f: evidence.subject_score(f["low"], f["packed"], words(primary), words(subject), weak))[0].cast("long")
 
 
 def expanded(hits: DataFrame, chunks: DataFrame) -> DataFrame:

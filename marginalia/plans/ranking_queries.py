@@ -18,6 +18,12 @@ def subject_score(t):
     return t("documents").select("doc_id", ranking.subject_score(F.col("text"), ["in the"], ["the", "hand"], ["the"]).alias("score"))
 
 
+@query("q_subject_score_weak", f"WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, regexp_replace(lower(coalesce(text, '')), '[^0-9a-z가-힣]+', '', 'g') AS packed FROM documents), c AS (SELECT doc_id, {_count('hand')} AS p, {_count('the')} AS a FROM t) SELECT doc_id, CAST(least(p, 4) * 24 + least(a, 5) * 3 AS BIGINT) AS score FROM c")
+def subject_score_weak(t):
+    """All subject terms are weak: a strong primary term doesn't add what only a strong subject term does."""
+    return t("documents").select("doc_id", ranking.subject_score(F.col("text"), ["hand"], ["the"], ["the"]).alias("score"))
+
+
 _HITS = "SELECT user_id AS qid, event_id % 3 AS source, event_id AS rank, event_id AS chunk_id, CASE WHEN event_id % 2 = 0 THEN event_id % 90 - 10 END AS parent_id, CASE WHEN event_id % 8 = 0 THEN 'held' END AS parent_text, event_type AS text FROM events"
 
 

@@ -36,4 +36,4 @@ def relational(name: str, sql: str, spark_sql: str | None = None) -> None:
     ORACLE_SQL[name] = sql.format(**{t: t for t in _TABLES})
 
 
-from marginalia.plans import analysis_queries, document_queries, evidence_queries, metadata_queries, ranking_queries, table_queries  # noqa: E402,F401
+from marginalia.plans import analysis_queries, bridge_queries, document_queries, evidence_queries, metadata_queries, ranking_queries, table_queries  # noqa: E402,F401
