@@ -66,8 +66,11 @@ def normalized_token(token: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Each lower-case token and its normalised form (once, if equal), of two characters or more."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
-    return F.filter(F.flatten(F.transform(raw, lambda r: F.array_distinct(F.array(r, normalized_token(r))))), lambda k: F.length(k) >= 2)
+    low = F.lower(text)
+    raw = F.regexp_extract_all(low, F.lit(TOKEN), 0)
+    both = F.filter(F.flatten(F.transform(raw, lambda r: F.array_distinct(F.array(r, normalized_token(r))))), lambda k: F.length(k) >= 2)
+    # without Hangul there are no particles, and one pattern finds the tokens
+    return F.when(low.rlike(f"[{HANGUL}]"), both).otherwise(F.regexp_extract_all(low, F.lit("[0-9A-Za-z]{2,}"), 0))
 
 
 def query_terms(text: Column) -> Column:

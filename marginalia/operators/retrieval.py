@@ -16,28 +16,6 @@ def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return tokens.select(key, "dl", F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(index: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row: n chunks that have tokens, and their mean length."""
-    return index.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def bm25(index: DataFrame, questions: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
-    """qid, rank, key, score: each question's best chunks; a term counts as often as the question has it.
-
-    ``questions`` holds qid and text. The questions' terms are joined before anything is summed, so only
-    their postings are touched; document frequencies are taken over those postings alone.
-    """
-    asked = questions.select("qid", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    touched = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = touched.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(index, key)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # one row of statistics beside every posting
-    scored = touched.join(df, "term").join(asked, "term").join(F.broadcast(stats), how="cross").groupBy("qid", key).agg(F.sum(F.col("qtf") * idf * tf).alias("score"))
-    return top_ranked(scored.where("score > 0").withColumn("score", F.round("score", 6)), F.col("score").desc(), limit, key)
-
-
 def top_ranked(scored: DataFrame, order: Column, limit: int, key: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(order, F.col(key)))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("qid", "rank", key, "score")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import chunking, retrieval, stats, tables
-from marginalia.plans.registry import query
+from marginalia.operators import chunking, retrieval, sparse_index, stats, tables
+from marginalia.plans.registry import query, stored
 
 _PART = "|".join(T.PARTICLES)
 _TOK = f"list_filter(flatten(list_transform(regexp_extract_all(lower({{0}}), '[0-9A-Za-z가-힣]+'), lambda r: list_distinct([r, regexp_replace(r, '(.)({_PART})$', '\\1')]))), lambda k: length(k) >= 2)"
@@ -119,16 +119,19 @@ SELECT qid, rank, doc_id, score FROM k WHERE rank <= {limit}"""
     )
 
 
-@query("q_bm25_topk", _bm25_sql("SELECT 0 AS qid, 'the tion hand of entin' AS text", 5))
-def bm25_topk(t):
-    docs = t("documents")
-    question = docs.sparkSession.createDataFrame([(0, "the tion hand of entin")], "qid int, text string")
-    return retrieval.bm25(retrieval.postings(docs), question, 5)
+@stored("q_bm25_topk", _bm25_sql("SELECT 0 AS qid, 'the tion hand of entin' AS text", 5))
+def bm25_topk(spark, sf_dir):
+    """The index is built on first use; the question reads the buckets of its terms."""
+    question = spark.createDataFrame([(0, "the tion hand of entin")], "qid int, text string")
+    index = sparse_index.of_table(spark, f"{sf_dir}/documents.parquet")
+    return sparse_index.search(spark, index, question, 5).withColumnRenamed("key", "doc_id")
 
 
-@query("q_bm25_batch", _bm25_sql("SELECT item_id AS qid, text FROM benchmark", 5))
-def bm25_batch(t):
-    return retrieval.bm25(retrieval.postings(t("documents")), t("benchmark").select(F.col("item_id").alias("qid"), "text"), 5)
+@stored("q_bm25_batch", _bm25_sql("SELECT item_id AS qid, text FROM benchmark", 5))
+def bm25_batch(spark, sf_dir):
+    questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
+    index = sparse_index.of_table(spark, f"{sf_dir}/documents.parquet")
+    return sparse_index.search(spark, index, questions, 5).withColumnRenamed("key", "doc_id")
 
 
 @query("q_vector_topk", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) - 0.125) * (CAST(x AS DOUBLE) - 0.125))), 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 20")

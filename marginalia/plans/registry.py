@@ -24,6 +24,18 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+def stored(name: str, sql: str | None = None) -> Callable:
+    """Registers a query whose callable takes the session and the folder of the tables itself."""
+
+    def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = build
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return build
+
+    return register
+
+
 def relational(name: str, sql: str, spark_sql: str | None = None) -> None:
     """Registers a query that both engines take as SQL; ``{table}`` stands for a table."""
 
