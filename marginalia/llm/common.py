@@ -60,6 +60,18 @@ def forget(*tables: DataFrame) -> None:
         remove_path(table.sparkSession, table.scratch)
 
 
+#: A key of more rows than this, and than a ten-thousandth of all, goes by a broadcast: there are at most ten thousand.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+
+
+def attached(rows: DataFrame, owners: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) beside the columns of ``owners`` (key, n: its rows, ...), which has each key once. Keys of
+    very many rows don't go to one task: their owners are broadcast."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot, others = F.broadcast(owners.where(F.col("n") > least).drop("n")), owners.where(F.col("n") <= least).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
+
+
 def doc_remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

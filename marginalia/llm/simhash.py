@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, text_slices, utf8_of, written
+from marginalia.llm.common import attached, column_of, forget, text_slices, utf8_of, written
 from marginalia.llm.components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -101,12 +101,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed:
     looked at.
     """
     rows = written(fingerprints(docs, shingle, seed), "simhash-fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-classes")
     roots = written(connected_components(links(classes.select("fp"), distance)), "simhash-roots").withColumnRenamed("node", "fp")
     linked = roots.join(classes, "fp")
     named = roots.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
-    owner = classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    owner = written(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")), "simhash-owners")
+    forget(classes)
+    return attached(rows, owner, "fp", rows.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def row_key(*names: str) -> Column:
@@ -120,9 +121,9 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     kept = rows.groupBy("component").agg(least.alias("least")).select(F.col("least.row").alias("row_kept"))
-    nth = F.row_number().over(Window.partitionBy("row_kept").orderBy(F.xxhash64(*docs.columns)))
-    stay = docs.withColumn("row_kept", row_key("doc_id", "text")).join(kept, "row_kept", "left_semi")
-    return stay.withColumn("nth_of_row", nth).where("nth_of_row = 1").select(*docs.columns)
+    own = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("doc"), row_key("doc_id", "text").alias("row_kept"))
+    nth = F.row_number().over(Window.partitionBy("row_kept").orderBy(F.xxhash64("doc")))
+    return own.join(kept, "row_kept", "left_semi").withColumn("nth_of_row", nth).where("nth_of_row = 1").select("doc.*")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
@@ -133,5 +134,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int
     """
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row")).alias("doc_id"), "text")
     rows = written(_fingerprints(keyed, "struct<doc_id: long, row: long>", shingle, seed).select("doc_id.*", "fp"), "simhash-fingerprints")
-    roots = written(connected_components(links(rows.select("fp").distinct(), distance)), "simhash-roots").withColumnRenamed("node", "fp")
-    return one_of_each(docs, rows.join(roots, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("component")))
+    classes = written(rows.groupBy("fp").agg(F.count("*").alias("n")), "simhash-classes")
+    roots = connected_components(links(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    owner = written(classes.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("component")), "simhash-owners")
+    return one_of_each(docs, attached(rows, owner, "fp", rows.count()).select("doc_id", "row", "component"))
