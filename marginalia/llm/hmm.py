@@ -26,14 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, doc_remainder, text_slices, utf8_of, written
+from marginalia.llm.common import column_of, doc_remainder, forget, text_slices, utf8_of, written
 
 #: Latent states; rounds of Baum-Welch; words that are classes of their own; classes of other words.
 STATES, ROUNDS, OWN_CLASSES, ENDING_CLASSES = 8, 4, 2047, 1024
 #: Words whose counts are broadcast, at most.
 KNOWN_WORDS = 150_000
-#: Baum-Welch reads a text in windows of so many words; likelihoods are over whole texts.
-TRAIN_WINDOW = 256
+#: Words of texts that stand side by side in training, about, and of which forward values are held at a time; texts are
+#: read whole, however long.
+PACK_WORDS = 300_000
 #: Words that a task counts before it hands the counts on.
 COUNTED_WORDS = 300_000
 MEMO_WORDS = 250_000
@@ -92,7 +93,7 @@ def class_table(lexicon: Lexicon) -> np.ndarray:
 @dataclass
 class Chain:
     first: np.ndarray  # at a text's start
-    middle: np.ndarray  # at a later window's start, in training
+    middle: np.ndarray  # at the start of a piece that isn't a text's first, where training is given pieces
     move: np.ndarray
     emit: np.ndarray  # states x classes
 
@@ -114,51 +115,96 @@ class Packed:
         self.classes, self.row = flat[starts[row] + step], row
         self.lengths, self.steps = lengths, steps
 
-
-def forward(packed: Packed, starts: np.ndarray, chain: Chain, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log-likelihood by row; with ``keep`` also the scaled forward values and the scales."""
-    emitted = chain.emit.T[packed.classes]
-    alphas, scales = emitted if keep else None, np.empty(len(emitted))
-    move, active, offset = chain.move, packed.active, packed.offset
-    a = starts
-    for t in range(packed.steps):
-        lo, n = offset[t], active[t]
-        here = emitted[lo : lo + n]
-        a = (a[:n] * here) if t == 0 else (a[:n] @ move) * here
-        c = a.sum(1)
-        a /= c[:, None]
-        scales[lo : lo + n] = c
+    def blocks(self) -> list[tuple[int, int]]:
+        """Spans of steps that hold about PACK_WORDS words each."""
+        cuts, begin = [], 0
+        for t in range(1, self.steps + 1):
+            if t == self.steps or self.offset[t + 1] - self.offset[begin] > PACK_WORDS:
+                cuts.append((begin, t))
+                begin = t
+        return cuts
+
+
+def _recursion(packed: Packed, begin: int, stop: int, a: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward values and the scales of some steps, from the values of the step before (or the starts)."""
+    lo = packed.offset[begin]
+    alphas = chain.emit.T[packed.classes[lo : packed.offset[stop]]]
+    scales = np.empty(len(alphas))
+    for t in range(begin, stop):
+        at, n = packed.offset[t] - lo, packed.active[t]
+        here = alphas[at : at + n]
+        np.multiply(a[:n] if t == 0 else a[:n] @ chain.move, here, out=here)
+        c = here.sum(1)
+        here /= c[:, None]
+        scales[at : at + n] = c
+        a = here
+    return alphas, scales
+
+
+def forward(packed: Packed, starts: np.ndarray, chain: Chain, keep: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Natural log-likelihood by row; with ``keep`` also the forward values that each block of steps begins with."""
+    logs, entering, a = np.zeros(len(packed.lengths)), [], starts
+    for begin, stop in packed.blocks():
         if keep:
-            alphas[lo : lo + n] = a
-    return np.bincount(packed.row, weights=np.log(scales), minlength=len(packed.lengths)), alphas, scales
+            entering.append(a)
+        alphas, scales = _recursion(packed, begin, stop, a, chain)
+        a = alphas[len(alphas) - packed.active[stop - 1] :].copy()
+        logs += np.bincount(packed.row[packed.offset[begin] : packed.offset[stop]], weights=np.log(scales), minlength=len(logs))
+    return logs, entering
 
 
 def expected_counts(packed: Packed, fresh: np.ndarray, chain: Chain, sums: list[np.ndarray]) -> float:
-    """Adds the sequences' expected counts to ``sums`` (first, middle, move, emit); returns their log-likelihood."""
-    starts = np.where(fresh[packed.order][:, None], chain.first, chain.middle)
-    logs, alphas, scales = forward(packed, starts, chain, True)
-    betas, move = np.ones_like(alphas), chain.move
-    emit = chain.emit.T[packed.classes]
-    weighted = emit / scales[:, None]
-    for t in range(packed.steps - 2, -1, -1):
-        lo, nxt, n = packed.offset[t], packed.offset[t + 1], packed.active[t + 1]
-        later = weighted[nxt : nxt + n]
-        later *= betas[nxt : nxt + n]
-        betas[lo : lo + n] = later @ move.T
-    if packed.steps > 1:
-        previous = np.concatenate([np.arange(packed.offset[t - 1], packed.offset[t - 1] + packed.active[t]) for t in range(1, packed.steps)])
-        sums[2] += move * (alphas[previous].T @ weighted[packed.offset[1] :])
-    gamma = alphas * betas
-    gamma /= gamma.sum(1, keepdims=True)
-    head = gamma[: packed.active[0]]
+    """Adds the sequences' expected counts to ``sums`` (first, middle, move, emit); returns their log-likelihood.
+
+    ``fresh`` tells the sequences that begin a text. Blocks of steps go backwards, each with its forward values
+    worked out again from those that it begins with, so memory doesn't grow with the longest text.
+    """
     own = fresh[packed.order]
-    sums[0] += head[own].sum(0)
-    sums[1] += head[~own].sum(0)
-    for k in range(gamma.shape[1]):
-        sums[3][k] += np.bincount(packed.classes, weights=gamma[:, k], minlength=sums[3].shape[1])
+    logs, entering = forward(packed, np.where(own[:, None], chain.first, chain.middle), chain, True)
+    states, move, after = chain.move.shape[0], chain.move, None
+    for (begin, stop), a in zip(reversed(packed.blocks()), reversed(entering)):
+        lo, hi = packed.offset[begin], packed.offset[stop]
+        classes, active, offset = packed.classes[lo:hi], packed.active, packed.offset - lo
+        alphas, scales = _recursion(packed, begin, stop, a, chain)
+        later = chain.emit.T[classes] / scales[:, None]  # becomes emission times backward value, over the scale
+        betas = np.ones_like(alphas)
+        for t in range(stop - 1, begin - 1, -1):
+            at = offset[t]
+            if t + 1 < packed.steps:
+                n = active[t + 1]
+                betas[at : at + n] = (after if t + 1 == stop else later[offset[t + 1] : offset[t + 1] + n]) @ move.T
+            later[at : at + active[t]] *= betas[at : at + active[t]]
+        inner = slice(active[begin], None)  # all but the block's first step
+        before = np.repeat(offset[begin : stop - 1], active[begin + 1 : stop]) + packed.row[lo:hi][inner]
+        moved = alphas[before].T @ later[inner]
+        if begin:
+            moved += a[: active[begin]].T @ later[: active[begin]]
+        sums[2] += move * moved
+        gamma = alphas * betas
+        gamma /= gamma.sum(1, keepdims=True)
+        if not begin:
+            head = gamma[: active[0]]
+            sums[0] += head[own].sum(0)
+            sums[1] += head[~own].sum(0)
+        for k in range(states):
+            sums[3][k] += np.bincount(classes, weights=gamma[:, k], minlength=sums[3].shape[1])
+        after = later[: active[begin]].copy()
     return float(logs.sum())
 
 
+def packs(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The texts by falling length, in packs of about PACK_WORDS words; a longer text is a pack of its own."""
+    held, words = [], 0
+    for text in sorted(texts, key=len, reverse=True):
+        if held and words + len(text) > PACK_WORDS:
+            yield held
+            held, words = [], 0
+        held.append(text)
+        words += len(text)
+    if held:
+        yield held
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """w and c: how often each word, and the end (an empty word), stands in all texts."""
 
@@ -256,20 +302,15 @@ def baum_welch(docs: DataFrame, lexicon_shared, chain: Chain, rounds: int = ROUN
     encoded = written(docs.select("text").mapInArrow(encode, "classes binary"), "lm-classes")
 
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(chain)
+        shared = spark.sparkContext.broadcast(chain)  # states x classes
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             chain = shared.value
             sums = [np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))]
-            for part in text_slices(batches, "classes", rows=SLICE_DOCS):
-                windows, fresh = [], []
-                for own in column_of(part, "classes").to_pylist():
-                    own = np.frombuffer(own, "<u2").astype(np.int64)
-                    for at in range(0, len(own), TRAIN_WINDOW):
-                        windows.append(own[at : at + TRAIN_WINDOW])
-                        fresh.append(at == 0)
-                for at in range(0, len(windows), 2 * SLICE_DOCS):
-                    expected_counts(Packed(windows[at : at + 2 * SLICE_DOCS]), np.array(fresh[at : at + 2 * SLICE_DOCS]), chain, sums)
+            for part in text_slices(batches, "classes", rows=16 * SLICE_DOCS):
+                texts = [np.frombuffer(x, "<u2") for x in column_of(part, "classes").to_pylist()]
+                for pack in packs(texts):
+                    expected_counts(Packed([x.astype(np.int64) for x in pack]), np.ones(len(pack), bool), chain, sums)
             flat = np.concatenate([s.ravel() for s in sums])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["cell", "v"])
@@ -279,7 +320,9 @@ def baum_welch(docs: DataFrame, lexicon_shared, chain: Chain, rounds: int = ROUN
             flat[r["cell"]] = r["v"]
         first, middle, move, emit = (flat[a:b] for a, b in zip(bounds, bounds[1:]))
         smooth = lambda x, by: (x + by) / (x + by).sum(-1, keepdims=True)
+        shared.destroy()
         chain = Chain(smooth(first, 0.5), smooth(middle, 0.5), smooth(move.reshape(states, states), 0.1), smooth(emit.reshape(states, classes), 0.05))
+    forget(encoded)
     return chain
 
 
