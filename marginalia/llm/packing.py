@@ -5,16 +5,17 @@ pieces of the documents are placed first-fit decreasing: a tournament tree over
 places finds the leftmost bin that still holds a piece in logarithmic time. A document longer than
 a sequence is cut into full sequences and one remainder, so only remainders compete for places.
 
+Rows that are alike in id and ids are numbered, and the hash takes that number in, so no group holds all of them.
 Only lengths and checksums are shuffled; the ids themselves are made again by ``materialise``.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,24 +70,27 @@ def padded(tokens: int, length: int) -> int:
 
 
 def token_lengths(docs: DataFrame, vocabulary: str, length: int, end_id: int) -> DataFrame:
-    """doc_id, doc_tokens (with the end id) and the checksums of the document's pieces of ``length`` ids."""
+    """doc_id, doc_tokens (with the end id), the checksums of the document's pieces of ``length`` ids, and nth: how many
+    rows of the same id and checksums the same task had before. It doesn't depend on the order of a task's rows."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * length
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode, seen = encoder(vocabulary).encode, Counter()
         for part in text_slices(batches, rows=1024):
             streams = [ids + end for ids in encode(texts_of(part))]
+            crcs = [[zlib.crc32(s[i : i + step]) for i in range(0, len(s), step)] for s in streams]
+            nth = []
+            for doc_id, own in zip(column_of(part, "doc_id").to_pylist(), crcs):
+                key = hash((doc_id, *own))
+                nth.append(seen[key])
+                seen[key] += 1
             yield pa.RecordBatch.from_arrays(
-                [
-                    column_of(part, "doc_id"),
-                    pa.array([len(s) // 4 for s in streams], pa.int64()),
-                    pa.array([[zlib.crc32(s[i : i + step]) for i in range(0, len(s), step)] for s in streams], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "doc_tokens", "crcs"],
+                [column_of(part, "doc_id"), pa.array([len(s) // 4 for s in streams], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(nth, pa.int64())],
+                ["doc_id", "doc_tokens", "crcs", "nth"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise, "doc_id long, doc_tokens long, crcs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise, "doc_id long, doc_tokens long, crcs array<long>, nth long")
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0, docs_per_group: int = 2048, seed: int = 17) -> DataFrame:
@@ -100,16 +104,17 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0,
     """
     groups = max(1, round(docs.count() / docs_per_group))
     lengths = token_lengths(docs, vocabulary, length, end_id)
-    keyed = lengths.withColumn("packing_group", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(groups)))
+    keyed = lengths.withColumn("packing_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "crcs", "nth"), F.lit(groups)))
 
-    def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable", na_position="first")
+    def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, sums = rows["doc_id"].to_pylist(), rows["crcs"].to_pylist()
+        rows = rows.take(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, sums[i])))
         tokens = rows["doc_tokens"].to_numpy()
         rest = [int(t) % length for t in tokens]
         with_rest = [i for i, r in enumerate(rest) if r]
         bins = first_fit_decreasing([rest[i] for i in with_rest], length)
         fill = [0] * (max(bins, default=-1) + 1)
-        base, out = int(key[0]) << 32, []
+        base, out = key[0].as_py() << 32, []
         for i, b in sorted(zip(with_rest, bins), key=lambda x: (x[1], -rest[x[0]], x[0])):
             out.append((i, int(tokens[i]) - rest[i], rest[i], b, fill[b]))
             fill[b] += rest[i]
@@ -117,23 +122,15 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0,
             for start in range(0, int(t) - rest[i], length):
                 out.append((i, start, length, len(fill), 0))
                 fill.append(length)
-        at = [o[0] for o in out]
-        crcs = rows["crcs"].to_numpy()
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].array[at],
-                "start": [o[1] for o in out],
-                "length": [o[2] for o in out],
-                "ids_crc32": [int(crcs[o[0]][o[1] // length]) for o in out],
-                "doc_tokens": tokens[at],
-                "sequence_id": [base + o[3] for o in out],
-                "offset": [o[4] for o in out],
-                "sequence_tokens": [fill[o[3]] for o in out],
-                "padded_tokens": [padded(fill[o[3]], length) for o in out],
-            }
-        )
-
-    return keyed.groupBy("packing_group").applyInPandas(pack_group, PIECE_SCHEMA)
+        at = np.array([o[0] for o in out], np.int64)
+        crcs, longs = rows["crcs"].to_pylist(), pa.int64()
+        columns = [
+            rows["doc_id"].combine_chunks().take(pa.array(at)),
+            *(pa.array(c, longs) for c in ([o[1] for o in out], [o[2] for o in out], [crcs[o[0]][o[1] // length] for o in out], tokens[at], [base + o[3] for o in out], [o[4] for o in out], [fill[o[3]] for o in out], [padded(fill[o[3]], length) for o in out])),
+        ]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in PIECE_SCHEMA.split(", ")])
+
+    return keyed.drop("nth").groupBy("packing_group").applyInArrow(pack_group, PIECE_SCHEMA)
 
 
 def materialise(docs: DataFrame, pieces: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
