@@ -6,7 +6,8 @@ rest of its target is drawn without replacement: a document's key is an exponent
 its quality weight, keys are sorted within the source, and sizes are prefix-summed up to the budget.
 
 The order within a source is found in two steps, so that no task sees a whole source: sizes are summed
-by equal ranges of the key, and only the range in which the budget ends is sorted by document.
+by ranges of the key (equal ones on the logistic scale of its logarithm, where no key is lost to rounding), and only the
+range in which the budget ends is sorted by document.
 """
 
 from __future__ import annotations
@@ -18,18 +19,20 @@ from marginalia.llm.common import written
 from marginalia.llm.simhash import row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Signs that prose hardly has; their share lowers a document's quality weight.
-NOISE_SIGNS = "%#$&*|!"
+#: Signs that prose hardly has, runs of letters that end as words do, and the least weight.
+NOISE_SIGNS, LETTERS, LEAST_WEIGHT = "%#$&*|!<>{}=_~^@\\", r"\p{L}+(?=[\s.,;:?]|$)", 0.05
 #: A range of keys holds about so many documents of all sources.
 ROWS_PER_RANGE = 1000
 #: Up to so many sources the plan of the sources is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
 
-def quality_weight(text: Column) -> Column:
-    """1 for prose, down to 0.05 for texts full of signs."""
-    share = (F.length(text) - F.length(F.translate(text, NOISE_SIGNS, ""))) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.lit(0.05), 1 - 5 * share)
+def quality_weight(text: Column, size: Column) -> Column:
+    """1 for prose, down to 0.05: the share of words that are letters to their end, squared, less five times the share of
+    signs that prose hardly has. ``size``: the text's words."""
+    signs = (F.length(text) - F.length(F.translate(text, NOISE_SIGNS, ""))) / F.greatest(F.length(text), F.lit(1))
+    plain = F.least(F.lit(1.0), F.regexp_count(text, F.lit(LETTERS)) / F.greatest(size, F.lit(1)))
+    return F.greatest(F.lit(LEAST_WEIGHT), plain * plain - 5 * signs)
 
 
 def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
@@ -56,26 +59,26 @@ def mix(docs: DataFrame, weight: Column | None = None, most: float = 3.0, seed:
     """doc_id, source, size (words), source_size, target of the source, taken: the document's words that
     the mix takes, repeats counted (whole epochs, then one more time, or a beginning, if it is drawn).
 
-    ``weight``: a positive quality weight per row; the default looks at the text's signs. A null text has
+    ``weight``: a positive quality weight per row; the default looks at the text's words and signs. A null text has
     size 0 and takes 0; a null source is a source of its own. Rows that repeat a doc_id are drawn next to
     one another. Documents without words take 0; an empty table gives an empty result. Reruns agree. Other columns are not
     looked at; those in ``carried`` come along behind.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            # -ln(u) / weight, mapped to 0..1 in the same order
-            (1 - F.pow(uniform, 1 / (quality_weight(text) if weight is None else weight))).alias("key"),
+            size.alias("size"),
+            (-F.log(uniform) / (quality_weight(text, size) if weight is None else weight)).alias("key"),
             *carried,
         ),
         "mixing-sizes",
     )
     ranges = max(64, rows.count() // ROWS_PER_RANGE)
-    rows = rows.withColumn("range", F.least(F.floor(F.col("key") * ranges), F.lit(ranges - 1)))
+    rows = rows.withColumn("range", F.least(F.floor(F.col("key") / (1 + F.col("key")) * ranges), F.lit(ranges - 1)))
     by_range = written(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mixing-ranges")
 
     sources = source_targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), most)
@@ -107,16 +110,21 @@ def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
     document is a row with the text's first words, a space between them. Documents that the mix doesn't take go.
     Rows are known by doc_id, source and text, so ids may repeat or lack; of rows alike in all three, each has its own take.
     """
-    keyed = docs.withColumn("row_mixed", row_key("doc_id", "source", "text"))
-    takes = mix(keyed, most=float(most), carried=("row_mixed",)).groupBy("row_mixed").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("takes"))
-    names = docs.columns
-    part = F.col("taken") % F.col("size")
-    copies = F.expr("CASE WHEN size > 0 AND taken > 0 THEN sequence(1, CAST(ceil(taken / size) AS INT)) END")
-    nth = F.row_number().over(Window.partitionBy("row_mixed").orderBy(F.xxhash64(*names)))
-    rows = keyed.join(takes, "row_mixed").withColumn("own", F.element_at("takes", nth)).select(*(F.col(f"`{n}`") for n in names), "own.taken", "own.size").withColumn("copy", F.explode(copies))
-    is_part = (part > 0) & (F.col("copy") == F.ceil(F.col("taken") / F.col("size")))
-    words = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    names, key = docs.columns, row_key("doc_id", "source", "text").alias("row_mixed")
+    own = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("doc"), key)
+    # Rows of one key are alike, so they have few different takes; each is counted.
+    takes = mix(docs.select("doc_id", "source", "text", key), most=float(most), carried=("row_mixed",)).groupBy("row_mixed", "taken", "size").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("row_mixed").orderBy("taken", "size"))
+    takes = takes.withColumn("upto", upto).groupBy("row_mixed").agg(F.sort_array(F.collect_list(F.struct("upto", "taken", "size"))).alias("takes"))
+    nth = F.row_number().over(Window.partitionBy("row_mixed").orderBy(F.xxhash64("doc")))
+    rows = own.join(takes, "row_mixed").withColumn("nth_mixed", nth).select("doc", F.element_at(F.filter("takes", lambda t: t["upto"] >= F.col("nth_mixed")), 1).alias("take"))
+    taken, size = F.col("take.taken"), F.col("take.size")
+    copies = F.when((size > 0) & (taken > 0), F.sequence(F.lit(1), F.ceil(taken / size).cast("int")))
+    part = taken % size
+    words = F.split(F.regexp_replace(F.col("doc.text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     beginning = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
-    cut = F.when(is_part, beginning).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut)
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else rows.select(*names)
+    rows = rows.select("doc", "take", F.explode(copies).alias("copy"))
+    rows = rows.select(F.col("doc").withField("text", F.when((part > 0) & (F.col("copy") == F.ceil(taken / size)), beginning).otherwise(F.col("doc.text"))).alias("doc"))
+    if "n_chars" in names:
+        rows = rows.select(F.col("doc").withField("n_chars", F.length("doc.text").cast("long")).alias("doc"))
+    return rows.select("doc.*")
