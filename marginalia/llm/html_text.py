@@ -1,15 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass 1 looks at each block by itself: where it stands (in a
-menu, footer, advert, form and so on, or in an article), its length, its share of stop words and its
-share of link text make it good, bad or, if it is short, undecided. Pass 2 gives each undecided block
-the label of its nearest decided neighbours.
+A page is cut into blocks at block-level tags, in one pass whose time grows with the page, however broken it is. Pass 1
+looks at each block by itself: where it stands (in a menu, footer, advert, form and so on, or beside the page's article)
+can make it bad; else its length, its share of stop words and its share of link text make it good, bad or undecided.
+Pass 2 gives each undecided block the label of its nearest decided neighbours, in an article of those in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from marginalia.llm.common import column_of, text_slices
 # Tags and words.
 BLOCK_TAGS = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = set("script style noscript template textarea title iframe svg math object canvas noembed noframes".split())
+RAW_TAGS = set("script style noscript template textarea title iframe svg noembed noframes".split())
 BAD_TAGS = set("nav header footer aside form menu button select fieldset head dialog search".split())
 BAD_NAMES = set("ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus cookie cookies consent notice gdpr popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar copyright disclaimer pagination pager".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
@@ -33,6 +34,19 @@ STOP_WORDS = set(
     " el los las una que del y por con para se su al lo como más o pero sus ya es son fue este sin sobre".split()
 )
 
+_TAG_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)")
+# What follows a tag's name up to its end; a quote counts behind an equals sign, if it is closed.
+_TAG_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+""")
+_CLOSE = {tag: re.compile(rf"</{tag}(?![a-z0-9:-])", re.I) for tag in RAW_TAGS}
+_NAMES = set("ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus cookie cookies consent notice gdpr popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar copyright disclaimer pagination pager".split())
+BAD_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
+STOP_WORDS = set(
+    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about into than them can only other time new some could these two may first then do any my now such like our over"
+    " le la les de des du et un une en que qui est dans pour par sur pas au aux ce il elle ne se plus avec son sa ses mais ou nous vous ils sont cette"
+    " der die das und ist von zu den mit im des ein eine auf für nicht sich dem es an als auch er sie aus bei nach wie dass wir ich werden oder"
+    " el los las una que del y por con para se su al lo como más o pero sus ya es son fue este sin sobre".split()
+)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD_PARTS = re.compile(r"[a-z]+")
@@ -80,6 +94,7 @@ def _attributes(tag: str, attributes: str) -> tuple[bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, bad place, in an article: as inherited
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     link_chars, links, at, heading = 0, 0, 0, False
 
@@ -92,6 +107,11 @@ def blocks_of(page: str) -> list[Block]:
                 blocks.append(Block(text, link_chars, bad, article, heading))
         parts, link_chars = [], 0
 
+    def close_last() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     def add(raw: str) -> None:
         nonlocal link_chars
         text = html.unescape(raw) if "&" in raw else raw
@@ -101,23 +121,37 @@ def blocks_of(page: str) -> list[Block]:
 
     end = len(page)
     while at < end:
-        found = _TAG.search(page, at)
-        if not found:
+        found = page.find("<", at)
+        if found < 0:
             add(page[at:])
             break
-        if found.start() > at:
-            add(page[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            if found[0].startswith("<![CDATA["):
-                add(found[0][9:-3])
+        if found > at:
+            add(page[at:found])
+        named = _TAG_NAME.match(page, found + 1)
+        if named is None:
+            at = found + 1
+            if page.startswith("![CDATA[", at) and (stop := page.find("]]>", at)) >= 0:
+                add(page[at + 8 : stop])
+                at = stop + 3
+            elif page.startswith("!--", at):
+                stop = page.find("-->", at + 1)
+                at = stop + 3 if stop >= 0 else end
+            elif page[at : at + 1] in ("!", "?", "/"):
+                stop = page.find(">", at)
+                at = stop + 1 if stop >= 0 else end
+            else:
+                add("<")
             continue
-        tag, closing = tag.lower(), bool(found[1])
+        rest = _TAG_REST.match(page, named.end())
+        at = rest.end() + 1
+        if at > end:
+            break  # the page ends within a tag
+        tag, closing, attributes = named[1].lower(), named[0][0] == "/", rest[0]
         if not closing and tag in RAW_TAGS:
-            if not found[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not attributes.endswith("/"):
+                close = _CLOSE[tag].search(page, at)
+                stop = page.find(">", close.end()) if close else -1
+                at = stop + 1 if stop >= 0 else end
             if tag == "title":
                 end_block()
             continue
@@ -126,10 +160,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID_TAGS:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                while close_last() != tag:
+                    pass
             if tag == "a":
                 links = 0
             if tag[0] == "h" and tag[1:].isdigit():
@@ -137,13 +170,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:  # an open paragraph, item or cell ends where the next begins
             same = {"li": "li", "td": "td", "th": "th", "tr": "tr", "dd": "dd", "dt": "dt", "option": "option"}.get(tag, "p")
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[same] else ():
                 if stack[i][0] == same:
-                    del stack[i:]
+                    while len(stack) > i:
+                        close_last()
                     break
                 if stack[i][0] in _CONTAINERS:
                     break
-        bad, article = _attributes(tag, found[3])
+        bad, article = _attributes(tag, attributes)
         if stack:
             bad, article = bad or stack[-1][1], article or stack[-1][2]
         if tag == "a":
@@ -151,42 +185,58 @@ def blocks_of(page: str) -> list[Block]:
         if tag[0] == "h" and tag[1:].isdigit():
             heading = True
         stack.append((tag, bad, article))
+        opened[tag] += 1
     end_block()
     return blocks
 
 
+def stop_share(text: str) -> float:
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _nearest(decided: list[bool]) -> tuple[list[int], list[int]]:
+    """For each place the nearest marked one before it and behind it, -1 where there is none."""
+    n, last, following = len(decided), -1, -1
+    before, after = [-1] * n, [-1] * n
+    for i in range(n):
+        before[i] = last
+        last = i if decided[i] else last
+    for i in range(n - 1, -1, -1):
+        after[i] = following
+        following = i if decided[i] else following
+    return before, after
+
+
 def label_blocks(blocks: list[Block]) -> None:
     """Pass 1 by each block itself, pass 2 by neighbours."""
     has_article = any(b.in_article and not b.bad_place for b in blocks)
     for b in blocks:
-        n = len(b.text)
-        if b.bad_place or b.link_chars / n > MOST_LINKS:
+        n, share = len(b.text), stop_share(b.text)
+        if b.bad_place or b.link_chars / n > MOST_LINKS or (has_article and not b.in_article):
             b.label = "bad"
-        elif has_article:
-            b.label = ("good" if n >= SHORT_CHARS else "") if b.in_article else "bad"
         elif n < SHORT_CHARS:
-            b.label = "bad" if b.link_chars else ""
+            b.label = "bad" if b.link_chars and not has_article else ""
+        elif share >= (STOP_LOW if n > LONG_CHARS else STOP_HIGH):
+            b.label = "good"
+        elif share < STOP_LOW:
+            b.label = "bad" if b.link_chars and not has_article else ""
         else:
-            words = _WORDS.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = "good" if stops >= (STOP_LOW if n > LONG_CHARS else STOP_HIGH) else "bad" if stops < STOP_LOW and b.link_chars else "" if stops < STOP_LOW else "good"
-    decided = [i for i, b in enumerate(blocks) if b.label]
+            b.label = "" if has_article else "good"
     labels = [b.label for b in blocks]
+    # inside an article only decided neighbours inside of it count
+    before, after = _nearest([label != "" and (not has_article or (b.in_article and not b.bad_place)) for b, label in zip(blocks, labels)])
     for i, b in enumerate(blocks):
         if labels[i]:
             continue
-        if has_article:  # inside an article only decided neighbours inside of it count
-            near = [j for j in decided if blocks[j].in_article and not blocks[j].bad_place]
-            b.label = "good" if not near else labels[min(near, key=lambda j: (abs(j - i), -j))]
-            continue
-        before, after = next((j for j in reversed(decided) if j < i), None), next((j for j in decided if j > i), None)
-        sides = [j for j in (before, after) if j is not None]
-        if not sides:
-            b.label = "good"
-        elif len({labels[j] for j in sides}) == 1:
-            b.label = labels[sides[0]]
-        else:  # a heading goes with what follows, other blocks with the nearer side, or the one before
-            b.label = labels[after] if b.heading else labels[min(sides, key=lambda j: (abs(j - i), j))]
+        one, other = before[i], after[i]
+        sides = {labels[j] for j in (one, other) if j >= 0}
+        if len(sides) < 2:
+            b.label = next(iter(sides), "good")
+        elif b.heading:  # a heading goes with what follows
+            b.label = labels[other]
+        else:  # the nearer side; where both are as near, the one behind in an article, else the one before
+            b.label = labels[other if other - i < i - one or (has_article and other - i == i - one) else one]
 
 
 def main_text(page: str) -> str:
