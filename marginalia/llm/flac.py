@@ -4,9 +4,9 @@ Frames of a batch are handled side by side as rows of arrays: predictors, Rice c
 both checksums advance in lock-step over all frames. Streams hold STREAMINFO with the MD5 of the samples, and
 a SEEKTABLE with a point for each frame, so a reader finds any sample's frame without decoding those before it.
 
-Written: constant, verbatim, fixed (order 0 to 2) and LPC subframes, one Rice partition. Read: all subframe
-kinds, up to order 32, one partition of either Rice method, with wasted bits none. Streams with other
-features are refused.
+Written: constant, verbatim, fixed (order 0 to 2) and LPC subframes, one Rice partition. Read side by side: all subframe
+kinds, up to order 32, one partition of either Rice method, no wasted bits. ``flac_read`` reads streams with
+other features, as other encoders write them.
 """
 
 from __future__ import annotations

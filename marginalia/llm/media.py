@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm import flac
+from marginalia.llm import flac, flac_read
 from marginalia.llm.common import column_of, text_slices, utf8_of
 
 
@@ -36,28 +36,50 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 def feature(samples: np.ndarray) -> str:
     """Root mean square, share of sign changes and peak of the signed samples."""
     signed = samples.astype(np.int64) - 128
+    if not len(signed):
+        return "rms=0.000;zcr=0.00000;peak=0"
     changes = int(np.count_nonzero((signed[1:] < 0) != (signed[:-1] < 0)))
     return f"rms={np.sqrt(np.mean(signed * signed)):.3f};zcr={changes / max(1, len(signed) - 1):.5f};peak={int(np.abs(signed).max())}"
 
 
+Read = tuple[bytes, np.ndarray, np.ndarray]
+
+
+def _decoded(streams: list[bytes]) -> list[Read]:
+    """PCM bytes, block offsets and samples as unsigned 8-bit numbers of each stream: all side by side, and where a stream
+    isn't of ``flac``'s own kind, or is damaged, each by itself."""
+    try:
+        return [(samples.tobytes(), offsets, samples) for samples, offsets in flac.decode(streams)]
+    except ValueError:
+        return [_foreign(x) for x in streams] if len(streams) == 1 else [r for x in streams for r in _decoded([x])]
+
+
+def _foreign(stream: bytes) -> Read:
+    pcm = flac_read.read_stream(stream)
+    shift, flat = pcm.bits - 8, pcm.samples.ravel()
+    return pcm.to_bytes(), pcm.offsets, ((flat >> shift if shift >= 0 else flat << -shift) + 128).astype(np.uint8)
+
+
 def decode_media(media: DataFrame) -> DataFrame:
     """doc_id, media, pcm (the stored bytes), block_offsets (the sample at which each PCM block begins), n_bytes (pcm
-    without the filling) and feature, from doc_id and media alone. A null or damaged stream is an error.
+    without the filling) and feature, from doc_id and media alone. A null or damaged stream is an error. Streams of
+    other encoders are read one by one: pcm then holds the channels by turns, little-endian, unsigned up to 8 bits,
+    and the feature is that of the samples, cut to 8 bits. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "media"):
             column = column_of(part, "media")
-            read = flac.decode(column.to_pylist())
-            pcm = [samples.tobytes() for samples, _ in read]
+            read = _decoded(column.to_pylist())
+            pcm = [data for data, _, _ in read]
             yield pa.RecordBatch.from_arrays(
                 [
                     column_of(part, "doc_id"),
                     column,
                     pa.array(pcm, pa.binary()),
-                    pa.array([offsets for _, offsets in read], pa.list_(pa.int64())),
+                    pa.array([offsets for _, offsets, _ in read], pa.list_(pa.int64())),
                     pa.array([len(p.rstrip(b"\xff")) for p in pcm], pa.int64()),
-                    pa.array([feature(samples) for samples, _ in read]),
+                    pa.array([feature(samples) for _, _, samples in read]),
                 ],
                 ["doc_id", "media", "pcm", "block_offsets", "n_bytes", "feature"],
             )
