@@ -67,7 +67,7 @@ def overlap_tail(text: Column, limit: int = CHUNK_OVERLAP) -> Column:
         .otherwise(F.struct(acc["kept"].alias("kept"), F.lit(True).alias("full"))),
         lambda acc: acc["kept"],
     )
-    return F.when(F.coalesce(is_table_row(F.try_element_at(rows, F.lit(1))), F.lit(False)), "").otherwise(folded)
+    return F.when(F.coalesce(is_table_row(F.try_element_at(rows, F.lit(1))) | is_table_separator(F.try_element_at(rows, F.lit(1))), F.lit(False)), "").otherwise(folded)
 
 
 def with_overlap(chunks: DataFrame, key: str, order: str) -> DataFrame:
