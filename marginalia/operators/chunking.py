@@ -70,14 +70,6 @@ def overlap_tail(text: Column, limit: int = CHUNK_OVERLAP) -> Column:
     return F.when(F.coalesce(is_table_row(F.try_element_at(rows, F.lit(1))) | is_table_separator(F.try_element_at(rows, F.lit(1))), F.lit(False)), "").otherwise(folded)
 
 
-def with_overlap(chunks: DataFrame, key: str, order: str) -> DataFrame:
-    """Each chunk's text behind the end of the chunk that stands before it (as it was, without its own overlap)."""
-    before = F.lag("text").over(Window.partitionBy(key).orderBy(order))
-    tail = F.coalesce(overlap_tail(before), F.lit(""))
-    blocked = F.col("text").rlike("^\\s*(#|\\|)")
-    return chunks.withColumn("text", F.when((tail == "") | blocked, F.col("text")).otherwise(F.concat(tail, F.lit("\n"), F.col("text"))))
-
-
 def merged(chunks: DataFrame, key: str, order: str, least: int = MERGE_MIN, most: int = CHUNK_SIZE) -> DataFrame:
     """Short neighbours joined by a blank line: a buffer is closed when it has ``least`` characters, or when the next
     chunk has another heading (``h1``) or wouldn't fit into ``most``. key, chunk_index, text, merged_chunk_count.

@@ -35,7 +35,7 @@ def adjacent_duplicates(docs: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("same", same).groupBy(key).agg(F.count("*").alias("n_lines"), F.count_if("same").alias("dropped"))
 
 
-def page_ranges(snippets: DataFrame, pages: DataFrame, key: str) -> DataFrame:
-    """key, page_start, page_end: the pages of the same document that hold any of its snippets."""
+def page_ranges(snippets: DataFrame, pages: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, more, page_start, page_end: the pages of the same document that hold any of the snippets."""
     hit = F.exists("snippets", lambda s: F.contains(F.col("content"), s))
-    return snippets.join(pages, key).where(hit).groupBy(key).agg(F.min("page").cast("long").alias("page_start"), F.max("page").cast("long").alias("page_end"))
+    return snippets.join(pages, key).where(hit).groupBy(key, *more).agg(F.min("page").cast("long").alias("page_start"), F.max("page").cast("long").alias("page_end"))

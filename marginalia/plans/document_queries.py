@@ -61,14 +61,6 @@ def page_snippets(t):
     return t("documents").select("doc_id", F.array_join(F.array_sort(T.page_snippets(F.col("text"))), "|").alias("snippets"))
 
 
-@query("q_page_match", r"WITH pages_ AS (SELECT doc_id, pos AS page, regexp_replace(raw, '\s+', '', 'g') AS content FROM (" + _LINES + r")), c AS (SELECT doc_id, regexp_replace(string_split(text, E'\n')[2], '\s+', '', 'g') AS c FROM documents), s AS (SELECT doc_id, unnest(list_filter(list_transform(list_distinct([0, (length(c) - least(120, length(c))) // 2, length(c) - least(120, length(c))]), lambda s: substring(c, s + 1, least(120, length(c)))), lambda x: length(x) >= 8)) AS snip FROM c WHERE c IS NOT NULL) SELECT s.doc_id, CAST(min(page) AS BIGINT) AS page_start, CAST(max(page) AS BIGINT) AS page_end FROM s JOIN pages_ p ON p.doc_id = s.doc_id AND contains(p.content, s.snip) GROUP BY s.doc_id")
-def page_match(t):
-    docs = t("documents")
-    pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")).select("doc_id", (F.col("page") + 1).alias("page"), T.without_space(F.col("line")).alias("content"))
-    snippets = docs.select("doc_id", T.page_snippets(F.try_element_at(F.split("text", "\n"), F.lit(2))).alias("snippets")).where("snippets IS NOT NULL")
-    return stats.page_ranges(snippets, pages, "doc_id")
-
-
 @query("q_chunk_stats", "SELECT source, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(length(text)) AS BIGINT) AS total, round(avg(length(text)), 6) AS mean, CAST(min(length(text)) AS BIGINT) AS least, CAST(quantile_disc(length(text), 0.5) AS BIGINT) AS p50, CAST(quantile_disc(length(text), 0.9) AS BIGINT) AS p90, CAST(max(length(text)) AS BIGINT) AS most, CAST(count(*) FILTER (WHERE length(text) < 300) AS BIGINT) AS short_chunks FROM documents GROUP BY source")
 def chunk_stats(t):
     return stats.chunk_stats(t("documents"), "source")
@@ -157,12 +149,6 @@ def sections(t):
     return chunking.sections(_page_lines(t), "page_id").groupBy("page_id", "section").agg(F.max("h1").alias("h1"), F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
-@query("q_line_overlap", _PLINES + r", o AS (SELECT page_id, pos, lag(line) OVER (PARTITION BY page_id ORDER BY pos) AS before, line FROM l) SELECT page_id, CAST(pos AS BIGINT) AS pos, md5(CASE WHEN before IS NULL OR regexp_matches(line, '^\s*(#|\|)') THEN line ELSE concat(CASE WHEN length(before) > 80 THEN trim(right(before, 80)) ELSE before END, E'\n', line) END) AS digest FROM o")
-def line_overlap(t):
-    chunks = _page_lines(t).withColumnRenamed("line", "text")
-    return chunking.with_overlap(chunks, "page_id", "pos").select("page_id", F.col("pos").cast("long"), F.md5("text").alias("digest"))
-
-
 @query("q_merge_chunks")
 def merge_chunks(t):
     """Folds are not put in SQL; tests hold them against a plain loop."""

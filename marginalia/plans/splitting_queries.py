@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import splitting
+from marginalia.operators import ingest, splitting
 from marginalia.plans.registry import query
 
 
@@ -98,3 +98,26 @@ def q_without_repeats(t):
     """Every third line stands twice; in runs of equal lines the first is kept."""
     twice = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 3 == 0, F.array(x, x)).otherwise(F.array(x))))
     return t("documents").select("doc_id", F.md5(splitting.without_repeats(F.array_join(twice, "\n"))).alias("digest"))
+
+
+@query("q_page_ranges", SPLIT_SQL + r""", pg AS (SELECT document_id, page, regexp_replace(string_agg(line, '' ORDER BY nth), '\s+', '', 'g') AS content FROM p WHERE page IS NOT NULL GROUP BY document_id, page),
+cc AS (SELECT document_id, chunk_index, regexp_replace(text, '\s+', '', 'g') AS c FROM c),
+sn AS (SELECT document_id, chunk_index, unnest(list_filter(list_transform([0, (length(c) - least(120, length(c))) // 2, length(c) - least(120, length(c))], lambda s: substring(c, s + 1, least(120, length(c)))), lambda x: length(x) >= 8)) AS snip FROM cc)
+SELECT cc.document_id, CAST(cc.chunk_index AS INTEGER) AS chunk_index, CAST(min(pg.page) AS BIGINT) AS page_start, CAST(max(pg.page) AS BIGINT) AS page_end FROM cc LEFT JOIN sn ON sn.document_id = cc.document_id AND sn.chunk_index = cc.chunk_index LEFT JOIN pg ON pg.document_id = cc.document_id AND contains(pg.content, sn.snip) GROUP BY ALL""")
+def q_page_ranges(t):
+    parts = pages(t)
+    return ingest.page_ranges(splitting.split(parts), ingest.page_lookup(parts)).select("document_id", "chunk_index", "page_start", "page_end")
+
+
+@query("q_stage_statistics", MERGE_SQL + """, st AS (SELECT document_id, 'split' AS stage, text FROM c UNION ALL SELECT document_id, 'merged', x.text FROM mm)
+SELECT document_id, stage, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(length(text)) AS BIGINT) AS total, CAST(quantile_disc(length(text), 0.9) AS BIGINT) AS p90, CAST(count(*) FILTER (WHERE length(text) < 300) AS BIGINT) AS short_chunks FROM st GROUP BY ALL""")
+def q_stage_statistics(t):
+    split = splitting.split(pages(t))
+    return ingest.stage_statistics({"split": split, "merged": splitting.merged(split)}).select("document_id", "stage", "chunks", "total", "p90", "short_chunks")
+
+
+@query("q_ingest")
+def q_ingest(t):
+    """All steps in a row; borders of chunks are held against expected texts in tests."""
+    sources = t("documents").select(F.col("doc_id").alias("document_id"), "source")
+    return ingest.ingested(pages(t).join(sources, "document_id")).select("chunk_id", "document_id", "chunk_index", "chunk_role", "parent_chunk_id", "fact_index", "page", "page_start", "page_end", "path", F.md5("text").alias("digest"))

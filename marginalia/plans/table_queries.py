@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import table_facts
+from marginalia.operators import ingest, table_facts
 from marginalia.plans.registry import query
 
 
@@ -80,3 +80,31 @@ def q_fact_pairs(t):
 def q_symbol_facts(t):
     rows = table_facts.parsed_tables(chunks(t), "chunk_id")
     return rows.select("chunk_id", F.explode(table_facts.symbol_facts(F.col("caption"), F.col("legends"), F.col("labels"), F.col("cells"))).alias("fact"))
+
+
+_INDEX_SQL = FACTS_SQL + ", t AS (SELECT n, chunk_id FROM (SELECT DISTINCT n, concat(CAST(n AS VARCHAR), '_0') AS chunk_id FROM r))"
+
+
+def _indexed(t, embed_raw):
+    rows = chunks(t).select(F.split_part("chunk_id", F.lit("_"), F.lit(1)).cast("long").alias("document_id"), F.lit(0).alias("chunk_index"), "text", "path")
+    return ingest.index_rows(rows, embed_raw)
+
+
+@query("q_index_rows", _INDEX_SQL + " SELECT chunk_id, CAST(n AS BIGINT) AS document_id, 'raw' AS chunk_role, CAST(NULL AS VARCHAR) AS parent_chunk_id, CAST(NULL AS INTEGER) AS fact_index, NULL AS fact FROM t UNION ALL SELECT concat(chunk_id, '_fact_', CAST(fact_index AS VARCHAR)), CAST(split_part(chunk_id, '_', 1) AS BIGINT), 'table_fact', chunk_id, fact_index, fact FROM kept")
+def q_index_rows(t):
+    return _indexed(t, True).select("chunk_id", "document_id", "chunk_role", "parent_chunk_id", "fact_index", F.when(F.col("chunk_role") == "table_fact", F.col("text")).alias("fact"))
+
+
+@query("q_listed_chunks", _INDEX_SQL + " SELECT CAST(n AS BIGINT) AS document_id, 0 AS chunk_index, chunk_id, true AS has_text FROM t")
+def q_listed_chunks(t):
+    """Chunks whose raw rows aren't stored are listed by the text that their facts hold."""
+    rows = ingest.listed_chunks(_indexed(t, False))
+    return rows.select("document_id", "chunk_index", "chunk_id", F.contains("text", F.lit("고객 현황")).alias("has_text"))
+
+
+@query("q_index_delete", _INDEX_SQL + ", every AS (SELECT CAST(n AS BIGINT) AS document_id FROM t UNION ALL SELECT CAST(split_part(chunk_id, '_', 1) AS BIGINT) FROM kept) SELECT document_id, count(*) AS n, false AS gone FROM every WHERE document_id % 3 <> 0 GROUP BY document_id UNION ALL SELECT x, coalesce((SELECT count(*) FROM every e WHERE e.document_id = x), 0), true FROM (SELECT unnest([0, 3, 6, 9, 12, 15, 18, 21, 24, 27]) AS x)")
+def q_index_delete(t):
+    """Rows that stay by document, and how many each deleted document had."""
+    ids = t("nation").sparkSession.range(0, 28, 3).select(F.col("id").alias("document_id"))
+    left, counts = ingest.deleted(_indexed(t, True), ids)
+    return left.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("gone", F.lit(False)).unionByName(counts.select("document_id", F.col("deleted").alias("n"), F.lit(True).alias("gone")))
