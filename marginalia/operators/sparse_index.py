@@ -27,23 +27,23 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     # frequent terms are spread over several files of their bucket; each file is sorted, so its row groups can be passed by
     dealt = bucketed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("bucket", "term", "key")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    _read(spark, path, "postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    _read(spark, path, "postings", rows.schema["key"].dataType.simpleString()).groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
 
 
-_SCHEMAS = {"postings": "term string, key long, dl long, tf long, bucket long", "terms": "term string, df long, bucket long", "stats": "n long, avgdl double"}
+_SCHEMAS = {"postings": "term string, key {key}, dl long, tf long, bucket long", "terms": "term string, df long, bucket long", "stats": "n long, avgdl double"}
 
 
-def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[table]).parquet(f"{path}/{table}")
+def _read(spark: SparkSession, path: str, table: str, key_type: str = "long") -> DataFrame:
+    return spark.read.schema(_SCHEMAS[table].replace("{key}", key_type)).parquet(f"{path}/{table}")
 
 
-def search(spark: SparkSession, path: str, questions: DataFrame, limit: int, tokenizer: Tokenizer = search_tokens) -> DataFrame:
+def search(spark: SparkSession, path: str, questions: DataFrame, limit: int, tokenizer: Tokenizer = search_tokens, key_type: str = "long") -> DataFrame:
     """qid, rank, key, score: each question's (qid, text) best documents; a term counts as often as the question has it.
     Equal scores go to the smaller key."""
     asked = questions.select("qid", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-    postings, terms = _read(spark, path, "postings"), _read(spark, path, "terms")
+    postings, terms = _read(spark, path, "postings", key_type), _read(spark, path, "terms")
     named = [r["term"] for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
     if len(named) <= NAMED_TERMS:
         buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
