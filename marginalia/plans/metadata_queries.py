@@ -14,37 +14,11 @@ relational("q_doc_get", f"SELECT id, source, n_chars FROM ({_CATALOGUE}) WHERE i
 relational("q_doc_by_category", f"SELECT coalesce(CASE WHEN category_id = 1 THEN 'good' WHEN category_id = 0 THEN 'poor' END, 'uncategorised') AS category, count(*) AS n, sum(coalesce(n_chars, 0)) AS chars FROM ({_CATALOGUE}) GROUP BY 1".replace("sum(coalesce(n_chars, 0))", "CAST(sum(coalesce(n_chars, 0)) AS BIGINT)"))
 relational("q_uncategorised", f"SELECT id FROM ({_CATALOGUE}) WHERE category_id IS NULL")
 relational("q_any_processing", f"SELECT source, max(CASE WHEN is_active THEN 0 ELSE 1 END) = 1 AS any_inactive, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS total FROM ({_CATALOGUE}) GROUP BY source")
-relational("q_soft_delete", f"SELECT id, is_active AND id % 10 <> 3 AS is_active FROM ({_CATALOGUE})")
-relational("q_delete_doc", "SELECT doc_id, source FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
 relational("q_index_inventory", "SELECT source, count(*) AS n, min(doc_id) AS first_id, max(n_chars) AS longest FROM {documents} GROUP BY source")
-relational("q_list_chunks", "SELECT doc_id, chunk_index, text FROM (SELECT doc_id, chunk_index, text, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY role) AS nth FROM (SELECT doc_id, 0 AS chunk_index, 0 AS role, text FROM {documents} WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 0, 1, upper(source) FROM {documents})) WHERE nth = 1")
-relational("q_parent_chunk", "SELECT b.item_id, d.doc_id, coalesce(d.text, b.text) AS content FROM {benchmark} b LEFT JOIN {documents} d ON d.doc_id = b.item_id * 3")
 relational("q_session_list", f"SELECT s.session_id, s.last_turn, left(trim(c.text), 50) AS title FROM ({_SESSIONS}) s LEFT JOIN {{conversations}} c ON c.conv_id = s.session_id AND c.turn = s.first_turn")
 relational("q_session_detail", f"SELECT session_id, turn, question, answer FROM ({_MESSAGES}) WHERE session_id = 3")
-relational("q_message_feedback", f"SELECT m.session_id, m.turn, f.score FROM ({_MESSAGES}) m LEFT JOIN ({_FEEDBACK}) f ON f.message_id = m.session_id")
-relational("q_message_owned", f"SELECT m.session_id, m.turn FROM ({_MESSAGES}) m JOIN ({_SESSIONS}) s ON s.session_id = m.session_id WHERE s.session_id % 7 = 2")
 relational("q_feedback_in", f"SELECT message_id, score FROM ({_FEEDBACK}) WHERE message_id IN (SELECT conv_id FROM {{conversations}})")
 relational("q_feedback_count", f"SELECT count(*) AS n FROM ({_FEEDBACK}) WHERE score = 1")
-relational("q_feedback_stats", f"SELECT count(*) AS total, count(CASE WHEN score = 1 THEN 1 END) AS positive, count(CASE WHEN score = -1 THEN 1 END) AS negative, CASE WHEN count(*) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(count(CASE WHEN score = 1 THEN 1 END) AS DOUBLE) / count(*), 6) END AS positive_rate FROM ({_FEEDBACK})")
-relational("q_feedback_upsert", "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM {events}) WHERE nth = 1")
-relational("q_latest_prompt", "SELECT event_id, event_type FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 1")
-relational("q_cascade_delete", f"SELECT message_id, score FROM ({_FEEDBACK}) f WHERE NOT EXISTS (SELECT 1 FROM {{conversations}} c WHERE c.conv_id = f.message_id AND c.conv_id % 5 = 0)")
-relational("q_touch_session", "SELECT o_custkey AS session_id, max(o_orderdate) AS updated_at FROM {orders} GROUP BY o_custkey")
-relational("q_get_or_create", "SELECT c_custkey, coalesce(min_order, -c_custkey) AS session_id FROM {customer} LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS min_order FROM {orders} GROUP BY o_custkey) ON o_custkey = c_custkey")
 relational("q_category_exists", "SELECT r_name, EXISTS (SELECT 1 FROM {nation} n WHERE n.n_name = r.r_name) AS found FROM {region} r")
 relational("q_category_sorted", "SELECT r_regionkey, r_name, row_number() OVER (ORDER BY r_name) AS nth FROM {region}".replace("row_number() OVER (ORDER BY r_name)", "CAST(row_number() OVER (ORDER BY r_name) AS INTEGER)"))
-relational("q_category_insert", "SELECT n_name FROM {nation} WHERE n_name NOT IN (SELECT r_name FROM {region}) GROUP BY n_name")
-relational("q_access_paths", "SELECT conv_id, turn FROM {conversations} WHERE (conv_id % 2 = 0 AND role = 'user') OR (conv_id % 2 = 1 AND role = 'assistant')")
-relational("q_source_enrich", "SELECT e.event_id, d.source, d.lang FROM (SELECT event_id, TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' ELSE CAST(event_id % 1200 AS VARCHAR) END AS BIGINT) AS doc_id FROM {events}) e LEFT JOIN {documents} d ON d.doc_id = e.doc_id AND d.n_chars > 500", "SELECT e.event_id, d.source, d.lang FROM (SELECT event_id, TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' ELSE CAST(event_id % 1200 AS STRING) END AS BIGINT) AS doc_id FROM {events}) e LEFT JOIN {documents} d ON d.doc_id = e.doc_id AND d.n_chars > 500")
-relational("q_json_sources", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM {events}", "SELECT event_id, coalesce(TRY_CAST(get_json_object(props, '$.k') AS BIGINT), 0) AS k FROM {events}")
-relational("q_validation", "SELECT event_id, value BETWEEN 1 AND 20 AS valid_k, event_type IN ('click', 'view', 'purchase') AS valid_kind FROM {events}")
-relational("q_progress_precedence", f"SELECT id, CASE WHEN category_id = 1 THEN 100 WHEN category_id = 0 THEN 0 ELSE greatest(0, least(100, CAST(n_chars % 130 AS INTEGER) - 10)) END AS percent, CASE WHEN category_id IS NULL THEN 'processing' WHEN category_id = 1 THEN 'completed' ELSE 'failed' END AS status FROM ({_CATALOGUE})")
-relational("q_latest_progress", "SELECT user_id, max(ts) AS updated_at, count(*) AS updates FROM {events} GROUP BY user_id")
-relational("q_source_groups", "SELECT source, min(doc_id) AS first_seen, count(*) AS n FROM {documents} GROUP BY source")
 relational("q_score_label", f"SELECT message_id, CASE score WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' END AS label FROM ({_FEEDBACK})")
-relational("q_ttl_sessions", "SELECT event_id, ts, user_id, next_type = 'click' AND next_ts < ts + INTERVAL 30 MINUTE AS consumed FROM (SELECT event_id, ts, user_id, event_type, lead(event_type) OVER w AS next_type, lead(ts) OVER w AS next_ts FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'signup'")
-relational(
-    "q_token_assemble",
-    "WITH e AS (SELECT user_id, event_id, ts, event_type FROM {events}), f AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) AS stop FROM e GROUP BY user_id) SELECT e.user_id, string_agg(event_type, '' ORDER BY event_id) AS answer, count(*) AS tokens FROM e JOIN f ON e.user_id = f.user_id WHERE f.stop IS NULL OR e.event_id < f.stop GROUP BY e.user_id",
-    "WITH e AS (SELECT user_id, event_id, ts, event_type FROM {events}), f AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) AS stop FROM e GROUP BY user_id) SELECT e.user_id, array_join(transform(array_sort(collect_list(struct(event_id, event_type))), x -> x.event_type), '') AS answer, count(*) AS tokens FROM e JOIN f ON e.user_id = f.user_id WHERE f.stop IS NULL OR e.event_id < f.stop GROUP BY e.user_id",
-)

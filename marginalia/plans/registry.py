@@ -48,4 +48,4 @@ def relational(name: str, sql: str, spark_sql: str | None = None) -> None:
     ORACLE_SQL[name] = sql.format(**{t: t for t in _TABLES})
 
 
-from marginalia.plans import analysis_queries, answering_queries, bridge_queries, document_queries, evidence_queries, hits_queries, metadata_queries, ranking_queries, splitting_queries, table_queries  # noqa: E402,F401
+from marginalia.plans import analysis_queries, answering_queries, bridge_queries, document_queries, evidence_queries, hits_queries, metadata_queries, ranking_queries, relational_queries, splitting_queries, table_queries  # noqa: E402,F401
