@@ -154,7 +154,8 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     ids = {w: i for i, w in enumerate(names)}
     index = np.stack([index_vector(w) for w in names])
     look, context = TokenIds(ids), np.zeros((len(names), DIMENSIONS), np.float64)
-    stream = np.concatenate([np.append(np.fromiter(map(look.__getitem__, words), np.int64, len(words)), -1) for words in map(tokens, texts)] or [np.empty(0, np.int64)])
+    between = [-1] * WINDOW  # no window reaches from one text into the next
+    stream = np.concatenate([np.append(np.fromiter(map(look.__getitem__, words), np.int64, len(words)), between) for words in map(tokens, texts)] or [np.empty(0, np.int64)])
     for off in range(1, WINDOW + 1):
         a, b = stream[:-off], stream[off:]
         ok = (a >= 0) & (b >= 0)

@@ -259,17 +259,18 @@ def _half(text: str) -> int:
 
 
 def counted(sample: list[tuple[str, int]]) -> tuple[Counts, Counts]:
-    """The counts of either half of the sample's texts."""
-    halves, seen = (Counts(), Counts()), set()
+    """The counts of either half of the sample's texts, of keys that two toxic texts hold or more."""
+    halves, often = (Counts(), Counts()), set()
     for label in (1, 0):
         for t in _one_of_copies(sorted({t for t, y in sample if bool(y) == bool(label)})):
             own, keys = halves[_half(t)], _keys(t)
             own.texts[1 - label] += 1
-            if label:
-                own.held.update(keys)
-                seen |= keys
-            else:
-                own.other.update(keys & seen)
+            (own.held if label else own.other).update(keys if label else keys & often)
+        if label:
+            one, other = (h.held for h in halves)
+            often = {k for own, more in ((one, other), (other, one)) for k, n in own.items() if n > 1 or k in more}
+            for h in halves:
+                h.held = Counter({k: n for k, n in h.held.items() if k in often})
     return halves
 
 
