@@ -4,13 +4,15 @@ A rolling hash over the ids cuts each document's stream where the hash's low bit
 passages give equal chunks wherever they stand. A chunk's address is the BLAKE2b digest of its ids;
 each distinct chunk is stored once. A recipe lists a document's chunk addresses in order; recipes are
 stored in ascending doc_id. The root of the Merkle tree over a document's addresses goes into its
-recipe, and a manifest holds, for each recipe part, its token count and the hash over its roots.
+recipe; the root of the tree over a part's roots goes into the manifest, beside the part's document and token counts;
+and the root of the tree over the manifest's rows is the store's.
 
 Layout under the store's folder::
 
     packs/kind=chunk   digest, width (bytes of an id), body (little-endian ids)
     recipes            part, idx, doc_id, local_start, n_tokens, digests, lengths, root
     manifest           part, base, docs, tokens, part_root
+    store              root (of the tree over the manifest's rows)
 """
 
 from __future__ import annotations
@@ -165,26 +167,39 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
         rows_out.append((r["part"], base, r["docs"], r["tokens"], r["part_root"]))
         base += r["tokens"]
     spark.createDataFrame(rows_out, "part int, base long, docs long, tokens long, part_root string").coalesce(1).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([(store_root(rows_out),)], "root string").coalesce(1).write.parquet(f"{path}/store")
+
+
+def store_root(manifest: list[tuple]) -> str:
+    """The root of the tree over the manifest's rows (part, base, docs, tokens, part_root), in the parts' order."""
+    return merkle_root([hashlib.blake2b(repr(tuple(r)).encode(), digest_size=DIGEST).digest() for r in manifest]).hex()
 
 
 def _parts(spark: SparkSession, path: str) -> DataFrame:
-    """part, docs, tokens and part_root, worked out from the recipes."""
-    return read_recipes(spark, path).groupBy("part").agg(
-        F.count("*").alias("docs"),
-        F.sum("n_tokens").alias("tokens"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.hex("root").alias("root")))), lambda r: r["root"]), ""), 256).alias("part_root"),
-    )
+    """part, docs, tokens and part_root (the root of the tree over the documents' roots), worked out from the recipes."""
+
+    def root(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        own = merkle_root(rows["root"].to_pylist())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "docs": pa.array([rows.num_rows]), "tokens": pa.array([sum(rows["n_tokens"].to_pylist())], pa.int64()), "part_root": pa.array([own.hex()])})
+
+    return read_recipes(spark, path).select("part", "idx", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, docs long, tokens long, part_root string")
 
 
 def check_manifest(spark: SparkSession, path: str) -> None:
-    """An error if the recipes aren't those of the manifest: a part lost, added or changed, or a base that doesn't follow."""
+    """An error if the manifest isn't the store's, or the recipes aren't those of the manifest: a part lost, added or changed, or
+    a base that doesn't follow."""
     manifest = spark.read.schema("part int, base long, docs long, tokens long, part_root string").parquet(f"{path}/manifest")
-    found = {r["part"]: (r["docs"], r["tokens"], r["part_root"]) for r in _parts(spark, path).collect()}  # one row for each file part
-    base = 0
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
-        if found.pop(r["part"], None) != (r["docs"], r["tokens"], r["part_root"]) or r["base"] != base:
-            raise ValueError(f"part {r['part']} of the recipes isn't what the manifest says")
-        base += r["tokens"]
+    told = sorted(map(tuple, manifest.collect()))  # one row for each file part
+    kept = spark.read.schema("root string").parquet(f"{path}/store").first()
+    if kept is None or kept["root"] != store_root(told):
+        raise ValueError("the manifest isn't the store's")
+    found = {r["part"]: (r["docs"], r["tokens"], r["part_root"]) for r in _parts(spark, path).collect()}
+    at = 0
+    for part, base, docs, tokens, part_root in told:
+        if found.pop(part, None) != (docs, tokens, part_root) or base != at:
+            raise ValueError(f"part {part} of the recipes isn't what the manifest says")
+        at += tokens
     if found:
         raise ValueError(f"the manifest lacks the recipes' parts {sorted(found)}")
 
