@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import search_tokens
 from marginalia.operators.analysis import Tokenizer
 from marginalia.operators.retrieval import B, K1, top_ranked
-from marginalia.sources.scratch import remove_path, scratch_path, version
+from marginalia.sources.scratch import exists, remove_path, scratch_path, version
 
 BUCKETS = 64
 #: Buckets are named in the plan for up to so many different terms; beyond, their join finds them.
@@ -70,7 +70,7 @@ def of_table(spark: SparkSession, path: str) -> str:
         if known[:2] == mark and known[2] != state:
             remove_path(spark, folder)
             del _BUILT[known]
-    if (*mark, state) not in _BUILT:
+    if not exists(spark, _BUILT.get((*mark, state), "/no index")):
         folder = scratch_path(spark, "sparse-index")
         build(spark.read.parquet(path).select("doc_id", "text"), folder)
         _BUILT[(*mark, state)] = folder

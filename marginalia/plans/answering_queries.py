@@ -9,7 +9,7 @@ from marginalia.operators import ingest, sparse_index
 from marginalia.plans import evidence_queries, table_queries
 from marginalia.plans.analysis_queries import questions
 from marginalia.plans.registry import query, stored
-from marginalia.sources.scratch import remove_path, scratch_path
+from marginalia.sources.scratch import exists, remove_path, scratch_path
 
 _INDEXES: dict[tuple, str] = {}
 
@@ -26,12 +26,12 @@ def index(t):
 def _retrieval(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:  # built once, as documents are written
+    if not exists(spark, _INDEXES.get(key, "/no index")):  # built once, as documents are written
         folder = scratch_path(spark, "answers")
         index(read).write.parquet(f"{folder}/rows")
         raw = spark.read.parquet(f"{folder}/rows").where("chunk_role = 'raw'")
         sparse_index.build(raw.select("chunk_id", A.search_text(F.col("text"), F.col("path")).alias("text")), f"{folder}/sparse", key="chunk_id")
-        for known in [k for k in _INDEXES if k[0] == key[0]]:
+        for known in [k for k in _INDEXES if k[0] == key[0]]:  # of another folder of tables
             remove_path(spark, _INDEXES.pop(known))
         _INDEXES[key] = folder
     rows = spark.read.parquet(f"{_INDEXES[key]}/rows")

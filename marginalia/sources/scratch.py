@@ -41,6 +41,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop))
+
+
 def version(spark: SparkSession, path: str) -> tuple:
     """What tells a table's files apart from an earlier state of it: names, lengths and times."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
