@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,13 @@ def contains_term(text: Column, term: Column) -> Column:
     return (F.length(term) > 0) & (F.contains(F.lower(text), F.lower(term)) | ((F.length(search_form(term)) > 0) & F.contains(search_form(text), search_form(term))))
 
 
+def by_words(text: Column, test: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """What ``test`` makes of a function that tells whether the text holds a word, as ``contains_term`` does; words are tokens in
+    lower case, and the text's forms are worked out once for all of them."""
+    forms = F.array(F.named_struct(F.lit("low"), F.lower(text), F.lit("packed"), search_form(text)))
+    return F.transform(forms, lambda f: test(lambda k: F.contains(f["low"], k) | F.contains(f["packed"], k)))[0]
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicon as L
-from marginalia.functions.text import TOKEN, contains_term
+from marginalia.functions.text import TOKEN, by_words, contains_term
 from marginalia.operators.analysis import any_of, asked_terms, evidence_terms, words
 from marginalia.operators.evidence import has_intent_evidence, looks_like_attire, strong, subject_strongly_matches
 from marginalia.operators.table_facts import LEGEND, fact_pairs, fact_subject
@@ -31,7 +31,7 @@ def attribute_terms(intent: Column, context: Column) -> Column:
 
 
 def _holds(text: Column, terms: Column) -> Column:
-    return F.exists(terms, lambda k: contains_term(text, k))
+    return by_words(text, lambda has: F.exists(terms, has))
 
 
 def _spoken(p: Column) -> Column:
@@ -83,7 +83,7 @@ def attribute_label(subject: Column, pairs: Column, intent: Column, terms: Colum
     """What the answer is called: the row's subject, a pair's key, the word that matched, else the intent's own name."""
     default = F.create_map(*(x for name, own in L.DEFAULT_LABELS.items() for x in (F.lit(name), F.lit(own))))
     pair = F.try_element_at(F.filter(pairs, lambda p: _holds(_spoken(p), terms)), F.lit(1))
-    term = F.try_element_at(F.filter(by_length(terms), lambda k: contains_term(_spoken(pair), k)), F.lit(1))
+    term = F.try_element_at(by_length(by_words(_spoken(pair), lambda has: F.filter(terms, has))), F.lit(1))
     found = F.when(contains_term(pair["k"], term), pair["k"]).otherwise(term)
     return F.when(intent == "attire", ATTIRE).when(_holds(subject, terms), subject).otherwise(F.coalesce(found, F.try_element_at(default, intent), F.lit(SOME_LABEL)))
 
@@ -112,7 +112,7 @@ def _subject_labels(facts: DataFrame) -> DataFrame:
     firm = F.filter(strong(F.array_union("primary_terms", "subject_terms")), lambda t: F.length(t) >= 2)
     rows = facts.select("qid", "cid", "place", "about", "intent", firm.alias("terms"), F.posexplode_outer(F.regexp_extract_all("fact", F.lit(TOKEN), 0)).alias("nth", "token"))
     rows = rows.withColumn("token", F.regexp_replace("token", SENTENCE_END, ""))
-    matched = F.filter("terms", lambda k: contains_term(F.col("token"), k))
+    matched = by_words(F.col("token"), lambda has: F.filter("terms", has))
     rows = rows.withColumn("weight", F.when(F.col("about") & (F.length("token") >= 2), F.aggregate(F.transform(matched, F.length), F.lit(0), lambda a, x: a + x)))
     best = F.max_by("token", F.when(F.col("weight") > 0, F.struct("weight", F.length("token").alias("n"), -F.col("place"), -F.col("nth"))))
     spare = F.try_element_at(F.filter(by_length(F.col("terms")), lambda k: ~F.array_contains(evidence_terms(F.col("intent")), k)), F.lit(1))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicon as L
-from marginalia.functions.text import contains_term, lines, search_form
+from marginalia.functions.text import by_words, lines, search_form
 from marginalia.operators.analysis import any_of, evidence_terms
 
 #: Lines of evidence, and of an excerpt, at most: the feature's own limits.
@@ -95,7 +95,7 @@ def heading_score(text_lines: Column, intent: Column, primary: Column, subject:
 
 def fact_score(fact: Column, terms: Column) -> Column:
     """How well a table's fact matches the words of ``analysis.lexical_terms``; 0 if no word of the subject does."""
-    count = lambda words: F.size(F.filter(words, lambda k: contains_term(fact, k)))
+    count = lambda words: by_words(fact, lambda has: F.size(F.filter(words, has)))
     subject, asked = terms["subject"], terms["intent"]
     counting = F.arrays_overlap(asked, F.array(*map(F.lit, L.COUNT_ASKS)))
     score = count(subject) * FACT_SUBJECT + count(asked) * FACT_INTENT
@@ -124,14 +124,13 @@ def _usable(terms: Column) -> Column:
 def subject_matches(text: Column, primary: Column, subject: Column) -> Column:
     """The text is about the subject: a strong primary term, all of two or more subject terms, or the only strong one."""
     own, firm = _usable(subject), strong(_usable(subject))
-    found = lambda terms: F.exists(terms, lambda k: contains_term(text, k))
-    return found(strong(_usable(primary))) | ((F.size(own) >= 2) & F.forall(own, lambda k: contains_term(text, k))) | ((F.size(firm) == 1) & found(firm))
+    return by_words(text, lambda has: F.exists(strong(_usable(primary)), has) | ((F.size(own) >= 2) & F.forall(own, has)) | ((F.size(firm) == 1) & F.exists(firm, has)))
 
 
 def subject_strongly_matches(text: Column, primary: Column, subject: Column) -> Column:
     """As ``subject_matches``, by the strong primary terms alone if there are any."""
     firm = strong(_usable(primary))
-    return F.when(F.size(firm) > 0, F.exists(firm, lambda k: contains_term(text, k))).otherwise(subject_matches(text, primary, subject))
+    return F.when(F.size(firm) > 0, by_words(text, lambda has: F.exists(firm, has))).otherwise(subject_matches(text, primary, subject))
 
 
 def _colon(line: Column) -> Column:
@@ -140,8 +139,8 @@ def _colon(line: Column) -> Column:
 
 def item_label(line: Column, primary: Column, subject: Column) -> Column:
     """What stands before the colon; without one the longest term that the line holds (of equal ones the first)."""
-    longest = lambda terms: F.array_max(F.transform(F.filter(terms, lambda k: contains_term(line, k)), F.length))
-    term = lambda terms: F.try_element_at(F.filter(F.array_sort(terms), lambda k: contains_term(line, k) & (F.length(k) == longest(terms))), F.lit(1))
+    ranked = lambda own: F.array_sort(F.transform(own, lambda k: F.named_struct(F.lit("n"), -F.length(k), F.lit("k"), k)))
+    term = lambda terms: F.try_element_at(ranked(by_words(line, lambda has: F.filter(terms, has))), F.lit(1))["k"]
     return F.coalesce(F.trim(F.split_part(line, _colon(line), F.lit(1))), term(primary), term(subject), F.lit(SOME_ITEM))
 
 
@@ -186,7 +185,7 @@ def _next_heading(rows: Column, place: Column) -> Column:
 def section_items(rows: Column, intent: Column, primary: Column, subject: Column, context: Column) -> Column:
     """For lists: the lines under the first heading that holds a term of the question."""
     terms = F.when(F.size(primary) > 0, primary).when(F.size(subject) > 0, subject).otherwise(context)
-    place = _first_where(rows, lambda x: is_heading(x) & F.exists(terms, lambda k: contains_term(x, k)))
+    place = _first_where(rows, lambda x: is_heading(x) & by_words(x, lambda has: F.exists(terms, has)))
     own = F.slice(rows, place + 1, _next_heading(rows, place) - place - 1)
     return F.when((intent == "list") & (place > 0), F.transform(own, lambda x: F.concat(F.lit(ITEM), x))).otherwise(F.array().cast(_EMPTY))
 

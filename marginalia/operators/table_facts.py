@@ -70,7 +70,9 @@ def parsed_tables(chunks: DataFrame, key: str) -> DataFrame:
     without a line above it, have no rows; nulls and empty texts have no tables.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    chunked = chunks.select(key, caption(lines, F.coalesce("path", F.lit(""))).alias("caption"), legends(lines).alias("legends"), F.posexplode(F.transform(lines, F.trim)).alias("pos", "line"))
+    # before the lines are dealt out, not for each of them
+    named = chunks.select(key, caption(lines, F.coalesce("path", F.lit(""))).alias("caption"), legends(lines).alias("legends"), F.transform(lines, F.trim).alias("lines"))
+    chunked = named.select(key, "caption", "legends", F.posexplode("lines").alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos")
     kind = chunked.where("line <> ''").withColumn("table", is_table_line(F.col("line")))
     island = kind.withColumn("new", (~F.col("table") | ~F.coalesce(F.lag("table").over(w), F.lit(False))).cast("int")).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
