@@ -7,6 +7,7 @@ chunk, so a table is never looked at outside of its chunk's task.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,11 @@ def column_labels(headers: Column, sub: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(headers[0])), label)
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` makes of a value that is worked out once, however often it is used (in functions over arrays, too)."""
+    return F.transform(F.array(value), lambda x: make(x))[0]
+
+
 def parsed_tables(chunks: DataFrame, key: str) -> DataFrame:
     """key, block, caption, legends, labels, row_no, cells: the rows that aren't blank of each table of ``chunks`` (key, text,
     path). The first two columns take the value above where a cell is empty. Tables without a separator, or
@@ -79,12 +85,14 @@ def parsed_tables(chunks: DataFrame, key: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     tables = island.where("table").groupBy(key, "block", "caption", "legends").agg(ordered.alias("lines"))
     cut = F.array_position(F.transform("lines", is_table_separator), True).cast("int")
-    tables = tables.withColumn("cut", cut).where("cut > 1 AND size(lines) > cut").withColumn("rows", F.transform("lines", split_cells))
-    width = F.array_max(F.transform("rows", lambda r, i: F.when(i + 1 != F.col("cut"), F.size(r)).otherwise(0)))
-    padded = lambda rows: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.col("width") - F.size(r)))))
-    tables = tables.withColumn("width", width).withColumn("headers", padded(F.slice("rows", F.lit(1), F.col("cut") - 1))).withColumn("body", padded(F.slice("rows", F.col("cut") + 1, F.size("rows"))))
-    sub = F.when(is_subheader(F.col("body")[0]), F.col("body")[0])
-    tables = tables.withColumn("sub", sub).withColumn("labels", column_labels(F.col("headers"), F.col("sub")))
+    name = F.lit
+    padded = lambda rows, width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r)))))
+    width = lambda t: F.array_max(F.transform(t["rows"], lambda r, i: F.when(i + 1 != t["cut"], F.size(r)).otherwise(0)))
+    parts = lambda t, w: F.named_struct(name("headers"), padded(F.slice(t["rows"], F.lit(1), t["cut"] - 1), w), name("body"), padded(F.slice(t["rows"], t["cut"] + 1, F.size(t["rows"])), w))
+    parsed = _bound(F.named_struct(name("cut"), cut, name("rows"), F.transform("lines", split_cells)), lambda t: _bound(width(t), lambda w: parts(t, w)))
+    sub = lambda p: F.when(is_subheader(p["body"][0]), p["body"][0])
+    labelled = _bound(parsed, lambda p: _bound(sub(p), lambda s: F.named_struct(name("body"), p["body"], name("sub"), s, name("labels"), column_labels(p["headers"], s))))
+    tables = tables.withColumn("cut", cut).where("cut > 1 AND size(lines) > cut").select(key, "block", "caption", "legends", labelled.alias("t")).select(key, "block", "caption", "legends", "t.*")
     rows = tables.select(key, "block", "caption", "legends", "labels", "sub", F.posexplode("body").alias("row_no", "cells"))
     rows = rows.where((F.col("row_no") > 0) | F.col("sub").isNull()).where(F.exists("cells", lambda c: ~is_empty_cell(c)))
     above = Window.partitionBy(key, "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
