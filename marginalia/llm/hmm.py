@@ -159,13 +159,15 @@ def expected_counts(packed: Packed, fresh: np.ndarray, chain: Chain, sums: list[
     ``fresh`` tells the sequences that begin a text. Blocks of steps go backwards, each with its forward values
     worked out again from those that it begins with, so memory doesn't grow with the longest text.
     """
-    own = fresh[packed.order]
-    logs, entering = forward(packed, np.where(own[:, None], chain.first, chain.middle), chain, True)
+    own, blocks, total = fresh[packed.order], packed.blocks(), 0.0
+    starts = np.where(own[:, None], chain.first, chain.middle)
+    entering = forward(packed, starts, chain, True)[1] if len(blocks) > 1 else [starts]
     states, move, after = chain.move.shape[0], chain.move, None
-    for (begin, stop), a in zip(reversed(packed.blocks()), reversed(entering)):
+    for (begin, stop), a in zip(reversed(blocks), reversed(entering)):
         lo, hi = packed.offset[begin], packed.offset[stop]
         classes, active, offset = packed.classes[lo:hi], packed.active, packed.offset - lo
         alphas, scales = _recursion(packed, begin, stop, a, chain)
+        total += float(np.log(scales).sum())
         later = chain.emit.T[classes] / scales[:, None]  # becomes emission times backward value, over the scale
         betas = np.ones_like(alphas)
         for t in range(stop - 1, begin - 1, -1):
@@ -189,7 +191,7 @@ def expected_counts(packed: Packed, fresh: np.ndarray, chain: Chain, sums: list[
         for k in range(states):
             sums[3][k] += np.bincount(classes, weights=gamma[:, k], minlength=sums[3].shape[1])
         after = later[: active[begin]].copy()
-    return float(logs.sum())
+    return total
 
 
 def packs(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
