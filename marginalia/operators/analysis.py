@@ -106,7 +106,9 @@ def analyzed(questions: DataFrame, tokenizer: Tokenizer = search_tokens) -> Data
 
 def lexical_terms(text: Column) -> Column:
     """struct(subject, intent): the words that a fact of a table is looked up by, sorted. A token whose synonyms touch the
-    words of tables gives words of intent, any other words of the subject."""
+    words of tables gives words of intent, any other words of the subject. A null text has none."""
+    text = F.coalesce(text, F.lit(""))
+
     def parts(raw: Column) -> Column:
         norm = normalized_token(raw)
         every = F.array_distinct(F.concat(F.array(raw), with_synonyms(norm)))

@@ -62,7 +62,7 @@ def column_labels(headers: Column, sub: Column) -> Column:
         own = F.filter(F.concat(filled, F.array(F.coalesce(F.try_element_at(sub, i), F.lit("")))), lambda c: ~is_empty_cell(c))
         return F.coalesce(F.nullif(F.array_join(F.array_distinct(own), " "), F.lit("")), F.concat(F.lit(COLUMN), i.cast("string")))
 
-    return F.transform(F.sequence(F.lit(1), F.size(headers[0])), label)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.get(headers, F.lit(0))))), label)
 
 
 def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
@@ -88,9 +88,9 @@ def parsed_tables(chunks: DataFrame, key: str) -> DataFrame:
     name = F.lit
     padded = lambda rows, width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r)))))
     width = lambda t: F.array_max(F.transform(t["rows"], lambda r, i: F.when(i + 1 != t["cut"], F.size(r)).otherwise(0)))
-    parts = lambda t, w: F.named_struct(name("headers"), padded(F.slice(t["rows"], F.lit(1), t["cut"] - 1), w), name("body"), padded(F.slice(t["rows"], t["cut"] + 1, F.size(t["rows"])), w))
+    parts = lambda t, w: F.named_struct(name("headers"), padded(F.slice(t["rows"], F.lit(1), F.greatest(F.lit(0), t["cut"] - 1)), w), name("body"), padded(F.slice(t["rows"], t["cut"] + 1, F.size(t["rows"])), w))
     parsed = _bound(F.named_struct(name("cut"), cut, name("rows"), F.transform("lines", split_cells)), lambda t: _bound(width(t), lambda w: parts(t, w)))
-    sub = lambda p: F.when(is_subheader(p["body"][0]), p["body"][0])
+    sub = lambda p: F.when(is_subheader(F.get(p["body"], F.lit(0))), F.get(p["body"], F.lit(0)))
     labelled = _bound(parsed, lambda p: _bound(sub(p), lambda s: F.named_struct(name("body"), p["body"], name("sub"), s, name("labels"), column_labels(p["headers"], s))))
     tables = tables.withColumn("cut", cut).where("cut > 1 AND size(lines) > cut").select(key, "block", "caption", "legends", labelled.alias("t")).select(key, "block", "caption", "legends", "t.*")
     rows = tables.select(key, "block", "caption", "legends", "labels", "sub", F.posexplode("body").alias("row_no", "cells"))
