@@ -9,9 +9,7 @@ from marginalia.functions.text import normalize_text, page_snippets, without_spa
 from marginalia.operators import splitting, stats, table_facts
 from marginalia.operators.ranking import header_path
 from marginalia.operators.tables import index_key
-
-STAGES = ("split", "deduped", "merged", "final")
-
+from marginalia.sources.scratch import forget, kept
 
 def normalized(parts: DataFrame) -> DataFrame:
     """``parts`` (document_id, ordinal, page, text, ...) without blank ones, their texts normalised."""
@@ -30,12 +28,21 @@ def page_ranges(chunks: DataFrame, lookup: DataFrame) -> DataFrame:
     return chunks.join(found, ["document_id", "chunk_index"], "left")
 
 
+_STEPS = {
+    "split": lambda parts: splitting.split(normalized(parts)),
+    "deduped": lambda chunks: chunks.withColumn("text", splitting.without_repeats(F.col("text"))),
+    "merged": splitting.merged,
+    "final": splitting.with_context,
+}
+STAGES = tuple(_STEPS)
+
+
 def chunk_stages(parts: DataFrame) -> dict[str, DataFrame]:
     """The chunks of ``parts`` after each step of ``STAGES``; the last is what is stored."""
-    split = splitting.split(normalized(parts))
-    deduped = split.withColumn("text", splitting.without_repeats(F.col("text")))
-    merged = splitting.merged(deduped)
-    return dict(zip(STAGES, (split, deduped, merged, splitting.with_context(merged))))
+    chunks, found = parts, {}
+    for stage, step in _STEPS.items():
+        found[stage] = chunks = step(chunks)
+    return found
 
 
 def stage_statistics(stages: dict[str, DataFrame]) -> DataFrame:
@@ -81,11 +88,19 @@ def stored_page(loaded: Column, computed: Column) -> Column:
 
 def ingested(parts: DataFrame, embed_raw: bool = True) -> DataFrame:
     """Rows of the index from ``parts`` (document_id, ordinal, page, text, source): split, cleaned, merged, with context, page
-    ranges and facts."""
-    chunks = page_ranges(chunk_stages(parts)["final"], page_lookup(parts))
+    ranges and facts. Each step's table is kept until the next ones have read it: in a single plan each use of the chunks
+    would work out all steps before it again, and their expressions would be put into one another."""
+    parts = kept(parts.select("document_id", "ordinal", "page", "text", "source"), "ingest-parts")
+    final = parts
+    for stage, step in _STEPS.items():
+        before, final = final, kept(step(final), f"ingest-{stage}")
+        if before is not parts:
+            forget(before)
+    chunks = page_ranges(final, page_lookup(parts))
     sources = parts.groupBy("document_id").agg(F.max("source").alias("source"))
     path = header_path(*(F.col(h) for h in splitting.HEADERS))
-    named = chunks.join(sources, "document_id").withColumn("path", path).withColumn("page", stored_page(F.col("page"), F.col("page_start")))
+    named = kept(chunks.join(sources, "document_id").withColumn("path", path).withColumn("page", stored_page(F.col("page"), F.col("page_start"))), "ingest-named")
+    forget(final, parts)
     return index_rows(named, embed_raw)
 
 

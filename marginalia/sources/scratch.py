@@ -33,7 +33,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: plans that use it several times work it out once."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables, as of ``kept``, that no later plan reads."""
+    for table in tables:
+        remove_path(table.sparkSession, table.scratch)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -61,6 +61,20 @@ def test_parts_without_text_give_no_chunks(spark):
     assert ingest.ingested(rows).count() == 0 and splitting.split(rows.limit(0)).count() == 0
 
 
+def test_ingest_works_its_parts_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    text = "# A\n| N | V |\n|---|---|\n| x | 1 |\nline of text"
+    rows = spark.createDataFrame([(d, o, o + 1, text, "s") for d in (1, 2) for o in (0, 1)], "document_id long, ordinal int, page long, text string, source string")
+    got = ingest.ingested(rows.mapInArrow(count, rows.schema)).select("document_id", "chunk_role", "source", "path").distinct().collect()
+    assert seen.value == 4 and sorted(map(tuple, got)) == [(d, role, "s", "A") for d in (1, 2) for role in ("raw", "table_fact")]
+
+
 def test_answers_without_hits(spark):
     questions = spark.createDataFrame([(1, "korea 모집인원"), (2, "nothing")], "qid int, text string")
     index = spark.createDataFrame(
