@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import mixing, near_copies, packing, quality, toxicity
+from marginalia.llm import mixing, near_copies, packing, quality, simhash, toxicity
 from marginalia.llm.common import written
 from marginalia.llm.queries import GOOD_FROM, TOXIC_FROM
 from marginalia.llm.tokenization import vocabulary
@@ -28,14 +28,20 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.only_good(docs, quality.learn(docs, _labels(spark, sf_dir)), GOOD_FROM)
 
 
+def drop_alike_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of SimHash fingerprints that differ in 3 bits or fewer stays: its smallest doc_id."""
+    return simhash.deduplicated(docs)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles alike to 0.8 or more) stays: its smallest doc_id."""
+    """The exact check behind SimHash, whose 3 bits don't reach it: one document of each group of near-duplicates (five-word
+    shingles alike to 0.8 or more) stays, its smallest doc_id."""
     return near_copies.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated, sampled or cut down to their target weights."""
-    return mixing.mixed_documents(docs)
+    """What near-duplicates the fingerprints left go first; then sources are repeated, sampled or cut down to their target weights."""
+    return mixing.mixed_documents(written(drop_near_duplicates(spark, docs, sf_dir), "pipeline-distinct"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", reject_toxic),
     ("quality", reject_poor),
-    ("simhash", drop_near_duplicates),
+    ("simhash", drop_alike_fingerprints),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

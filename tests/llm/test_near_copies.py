@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from marginalia.llm import near_copies
+from marginalia.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -59,3 +59,14 @@ def test_stage_drops_all_near_copies(spark, monkeypatch):
 def test_sets_at_the_border():
     same = np.arange(8, dtype=np.uint64)
     assert near_copies._enough(8, 8 + 10) and not near_copies._enough(7, 8 + 9) and len(near_copies.prefix(same, (same[:0], same[:0]))) == 2
+
+
+def test_fingerprints_come_first_and_the_exact_check_follows(spark):
+    texts = near_texts()
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["simhash"](spark, frame, "").localCheckpoint()
+    ids = sorted(r["doc_id"] for r in left.collect())
+    assert ids == sorted({r["component_id"] for r in simhash.near_duplicates(frame).collect()})
+    roots, pairs = brute_components([texts[i] for i in ids])
+    assert pairs and {r["doc_id"] for r in stages["mixing"](spark, left, "").collect()} == {ids[r] for r in set(roots) if shingles(texts[ids[r]])}
