@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -72,6 +74,28 @@ def attached(rows: DataFrame, owners: DataFrame, key: str, total: int) -> DataFr
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
 
 
+#: What this process keeps between tasks, by owner: how to drop it.
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def give_back() -> None:
+    """Memory that is no longer used goes back to the system; a worker lives on, for tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def holds(owner: str, drop: Callable[[], object] = lambda: None) -> None:
+    """``owner`` is at work in this process, and may keep something between tasks; what others kept goes."""
+    others = [x for x in _HELD if x != owner]
+    for x in others:
+        _HELD.pop(x)()
+    if others:
+        give_back()
+    _HELD[owner] = drop
+
+
 def doc_remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -125,8 +149,11 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "text", "label")))]
-        model = fit([(text, label) for _, text, label in sorted(rows)])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        holds("fitting")
+        model = pickle.dumps(fit([(text, label) for _, text, label in sorted(rows)]))
+        rows.clear()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     return pickle.loads(bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"]))
 
@@ -139,5 +166,7 @@ def rows_kept(docs: DataFrame, decider: Callable[[], Callable[[list[str]], list[
         decide = decider()
         for part in text_slices(batches):
             yield part.filter(pa.array(decide(texts_of(part)), pa.bool_()))
+        del decide
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

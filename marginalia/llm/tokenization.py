@@ -13,6 +13,10 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from marginalia.llm.common import holds
 
 #: Units that a worker keeps; beyond it new units are encoded each time they occur.
 CACHE_UNITS = 700_000
@@ -22,6 +26,11 @@ CACHED_CHARS = 40
 # White space besides the space and the line feed, for which libraries differ; and the start of special tokens.
 _ODD_ASCII = ["<|", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
 _ODD_WIDE = re.compile("[" + "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
+# A word of letters and the signs behind it, which both vocabularies cut apart; without the apostrophe, which may belong to letters.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD, _WORD_AND_SIGNS = re.compile(f" ?[{_LETTERS}]+").fullmatch, re.compile(rf"( ?[{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)").fullmatch
+#: Stands between units; no plain text holds it.
+CUT = "\x1e"
 # Runs of white space, whose cut depends on what follows.
 _RUNS = ["  ", " \n", "\n ", "\n\n"]
 
@@ -64,16 +73,27 @@ class UnitEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _each(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of many short units by two calls: one for units of ASCII letters, one for the others."""
-        letters, others = [], []
+        """The ids of many short units by two calls: one for units of letters, one for the others. Of a word with signs
+        behind it both are units by themselves, so words are encoded once whatever follows them."""
+        known, letters, others, cut = self.units, set(), set(), []
         for u in units:
-            word = u[1:] if self.keeps_spaces and u[0] == " " else u
-            plain = word.isascii() and word.isalpha() and (len(word) < len(u)) == self.keeps_spaces
-            (letters if plain else others).append(u)
-        out = self._parted(others) if others else {}
+            if found := _WORD_AND_SIGNS(u):
+                word, signs = found.groups()
+                cut.append((u, word, signs))
+                if signs not in known:
+                    others.add(signs)
+                if word in known:
+                    continue
+            else:
+                word = u
+            plain = (word[0] == " ") == self.keeps_spaces and (found or _WORD(word))
+            (letters if plain else others).add(word)
+        out = self._parted(list(others)) if others else {}
         if letters:
-            found = self._marked(letters)
-            out |= self._parted(letters) if found is None else found
+            found = self._marked(list(letters))
+            out |= self._parted(list(letters)) if found is None else found
+        for u, word, signs in cut:
+            out[u] = (known.get(word) or out[word]) + (known.get(signs) or out[signs])
         return out
 
     def _marked(self, units: list[str]) -> dict[str, bytes] | None:
@@ -90,18 +110,11 @@ class UnitEncoder:
         ids = np.array(self.tokenizer.encode_batch_fast([self.part.join(units)], add_special_tokens=False)[0].ids, "<u4")
         return dict(zip(units, _pieces(ids, [*np.flatnonzero(ids == self.part_id).tolist(), len(ids)], 1)))
 
-    def _split(self, text: str) -> list[str]:
+    def _marked_units(self, text: str) -> str:
+        """The text with CUT between its units, some of which may be empty."""
         if not self.keeps_spaces:
-            return (text.lower() if text.isascii() else text).split()
-        units: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                units.append("\n")
-            first, *others = line.split(" ")
-            if first:
-                units.append(first)
-            units += [" " + u for u in others]
-        return units
+            return (text.lower() if text.isascii() else text).replace("\n", CUT).replace(" ", CUT)
+        return text.replace(" ", f"{CUT} ").replace("\n", f"{CUT}\n{CUT}")
 
     def _odd(self, text: str) -> bool:
         if any(x in text for x in (_ODD_ASCII + _RUNS if self.keeps_spaces else _ODD_ASCII)):
@@ -109,33 +122,35 @@ class UnitEncoder:
         return not text.isascii() and _ODD_WIDE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Each different unit of the plain texts is looked up once; the texts' ids are then taken
+        from those of the units."""
         out = [b""] * len(texts)
-        whole: list[int] = []
-        gaps: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
-        unseen: set[str] = set()
-        known = self.units
-        for i, text in enumerate(texts):
-            if self._odd(text):
-                whole.append(i)
-                continue
-            units = self._split(text)
-            parts = list(map(known.get, units))
-            if None in parts:
-                missing = [(at, units[at]) for at, part in enumerate(parts) if part is None]
-                unseen.update(u for _, u in missing)
-                gaps.append((i, parts, missing))
-            else:
-                out[i] = b"".join(parts)
-        fresh = self._each(list(unseen)) if unseen else {}
-        for i, parts, missing in gaps:
-            for at, unit in missing:
-                parts[at] = fresh[unit]
-            out[i] = b"".join(parts)  # type: ignore[arg-type]
-        if len(known) < CACHE_UNITS:
-            known.update((u, b) for u, b in fresh.items() if len(u) <= CACHED_CHARS)
+        odd = list(map(self._odd, texts))
+        whole, plain = [i for i, x in enumerate(odd) if x], [i for i, x in enumerate(odd) if not x]
         if whole:
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
+        if not plain:
+            return out
+        cut = pc.split_pattern(pa.array([self._marked_units(texts[i]) for i in plain], pa.large_string()), CUT)
+        own = cut.values.dictionary_encode()
+        units, known = own.dictionary.to_pylist(), self.units
+        parts = list(map(known.get, units))
+        missing = [i for i, part in enumerate(parts) if part is None]
+        if missing:
+            fresh = self._each([units[i] for i in missing if units[i]])
+            for i in missing:
+                parts[i] = fresh.get(units[i], b"")
+            if len(known) < CACHE_UNITS:
+                known.update((u, b) for u, b in fresh.items() if len(u) <= CACHED_CHARS)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        begins, at = np.cumsum(sizes) - sizes, own.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        data = np.frombuffer(b"".join(parts), "<u4")[np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], lengths)].tobytes()
+        stops = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        for i, begin, stop in zip(plain, stops, stops[1:]):
+            out[i] = data[begin:stop]
         return out
 
 
@@ -143,7 +158,8 @@ _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder for a vocabulary file; it lives as long as the worker."""
+    """The worker's encoder for a vocabulary file; it lives until the worker is at something else."""
+    holds(path, lambda: _ENCODERS.pop(path, None))
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
