@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, fitted, labelled_sample, rows_kept, text_slices, texts_of
+from marginalia.llm.common import column_of, fitted, holds, labelled_sample, rows_kept, text_slices, texts_of
 
 #: Labelled documents that the vectors and the network are fitted on, at most about.
 SAMPLE_ROWS = 6_000
@@ -178,6 +178,7 @@ def probabilities(x: np.ndarray, m: Model) -> np.ndarray:
 
 def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
     """Vectors, network and temperature. Without labels of both kinds the score is their share (or a half)."""
+    holds("quality", _PIECES.clear)
     ids, vectors = word_vectors([t for t, _ in sample])
     look = TokenIds(ids)
     y = np.array([label for _, label in sample], np.float64)
@@ -225,6 +226,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * MOST_WORDS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("quality", _PIECES.clear)
         model = shared.value
         look, same = TokenIds(model.ids), model.ids[REPEATED]
         for part in text_slices(batches):
@@ -239,6 +241,7 @@ def only_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decider():
+        holds("quality", _PIECES.clear)
         model = shared.value
         look, same = TokenIds(model.ids), model.ids[REPEATED]
         return lambda texts: (probabilities(np.stack([pooled(token_rows(t, look, same), model.vectors) for t in texts]), model) >= least).tolist()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import attached, column_of, forget, text_slices, utf8_of, written
+from marginalia.llm.common import attached, column_of, forget, holds, text_slices, utf8_of, written
 from marginalia.llm.components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -53,6 +53,7 @@ def _fingerprints(docs: DataFrame, id_type: str, shingle: int, seed: int) -> Dat
     """As ``fingerprints``, for ids of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("simhash")
         for part in text_slices(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in utf8_of(part)], np.uint64)
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import column_of, fitted, labelled_sample, rows_kept, text_slices, texts_of
+from marginalia.llm.common import column_of, fitted, holds, labelled_sample, rows_kept, text_slices, texts_of
 
 #: Labelled documents that the lexicon and the curve are fitted on, at most about.
 SAMPLE_ROWS = 8_000
@@ -370,6 +370,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_ENTRIES lexicon entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("toxicity")
         model = shared.value
         lexer, grammar = Lexer(model), machine(model)
         for part in text_slices(batches):
@@ -392,6 +393,7 @@ def without_toxic(docs: DataFrame, model: Model, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decider():
+        holds("toxicity")
         model = shared.value
         lexer, grammar = Lexer(model), machine(model)
         return lambda texts: [probability(model, min(evidence(clause_scores(t, lexer, grammar)), MOST_EVIDENCE)) < least for t in texts]
