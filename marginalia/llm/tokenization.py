@@ -26,9 +26,11 @@ CACHED_CHARS = 40
 # White space besides the space and the line feed, for which libraries differ; and the start of special tokens.
 _ODD_ASCII = ["<|", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
 _ODD_WIDE = re.compile("[" + "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
-# A word of letters and the signs behind it, which both vocabularies cut apart; without the apostrophe, which may belong to letters.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD, _WORD_AND_SIGNS = re.compile(f" ?[{_LETTERS}]+").fullmatch, re.compile(rf"( ?[{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)").fullmatch
+# A word of letters, and the signs that may stand behind it, which both vocabularies cut apart; without the apostrophe, which may belong to letters.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Units that go to the library in one call, whose answer takes far more memory than their ids.
+CALL_UNITS = 1024
 #: Stands between units; no plain text holds it.
 CUT = "\x1e"
 # Runs of white space, whose cut depends on what follows.
@@ -73,26 +75,30 @@ class UnitEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _each(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of many short units by two calls: one for units of letters, one for the others. Of a word with signs
-        behind it both are units by themselves, so words are encoded once whatever follows them."""
+        """The ids of many short units, CALL_UNITS of them by a call: words of letters by themselves, then the others. Of a
+        word with signs behind it both are units by themselves, so words are encoded once whatever follows them."""
         known, letters, others, cut = self.units, set(), set(), []
         for u in units:
-            if found := _WORD_AND_SIGNS(u):
-                word, signs = found.groups()
-                cut.append((u, word, signs))
+            word = u.rstrip(_SIGNS)
+            plain = _WORD(word)
+            if plain and len(word) < len(u):
+                signs = u[len(word) :]
+                cut += (u, word, signs)  # no tuples are kept, for which the collector would come by
                 if signs not in known:
                     others.add(signs)
                 if word in known:
                     continue
             else:
                 word = u
-            plain = (word[0] == " ") == self.keeps_spaces and (found or _WORD(word))
-            (letters if plain else others).add(word)
-        out = self._parted(list(others)) if others else {}
-        if letters:
-            found = self._marked(list(letters))
-            out |= self._parted(list(letters)) if found is None else found
-        for u, word, signs in cut:
+            (letters if plain and (word[0] == " ") == self.keeps_spaces else others).add(word)
+        out: dict[str, bytes] = {}
+        for called, kind in ((self._marked, letters), (self._parted, others)):
+            kind = list(kind)
+            for i in range(0, len(kind), CALL_UNITS):
+                some = kind[i : i + CALL_UNITS]
+                found = called(some)
+                out.update(self._parted(some) if found is None else found)
+        for u, word, signs in zip(cut[::3], cut[1::3], cut[2::3]):
             out[u] = (known.get(word) or out[word]) + (known.get(signs) or out[signs])
         return out
 
@@ -134,7 +140,8 @@ class UnitEncoder:
             return out
         cut = pc.split_pattern(pa.array([self._marked_units(texts[i]) for i in plain], pa.large_string()), CUT)
         own = cut.values.dictionary_encode()
-        units, known = own.dictionary.to_pylist(), self.units
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own.dictionary)], pa.int32()), own.dictionary), pa.scalar(CUT, pa.large_string()))
+        units, known = joined[0].as_py().split(CUT), self.units  # faster than one by one
         parts = list(map(known.get, units))
         missing = [i for i, part in enumerate(parts) if part is None]
         if missing:
@@ -143,14 +150,12 @@ class UnitEncoder:
                 parts[i] = fresh.get(units[i], b"")
             if len(known) < CACHE_UNITS:
                 known.update((u, b) for u, b in fresh.items() if len(u) <= CACHED_CHARS)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-        begins, at = np.cumsum(sizes) - sizes, own.indices.to_numpy()
-        lengths = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        data = np.frombuffer(b"".join(parts), "<u4")[np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], lengths)].tobytes()
-        stops = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        rows = pa.array(parts, pa.large_binary()).take(own.indices)
+        _, ends, ids = rows.buffers()
+        stops = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(ids) if ids else b""
         for i, begin, stop in zip(plain, stops, stops[1:]):
-            out[i] = data[begin:stop]
+            out[i] = bytes(data[begin:stop])
         return out
 
 
