@@ -208,13 +208,23 @@ def _encode_batch(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     return [rows[i, : sizes_bytes[i]].tobytes() + int(crc[i]).to_bytes(2, "big") for i in range(n)]
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload; its bytes, less 128, are the samples. Lengths are multiples of 576, over 0."""
+_SIZE_AT, _SIZE_HEAD = 4 + 4 + 34, b"\x02\x00\x00\x0csize"  # behind STREAMINFO: an APPLICATION block of 12 bytes
+
+
+def told_size(stream: bytes) -> int | None:
+    """How many of a stream's bytes are content, where ``encode`` was told."""
+    at = _SIZE_AT + len(_SIZE_HEAD)
+    return int.from_bytes(stream[at : at + 8], "big") if stream[_SIZE_AT:at] == _SIZE_HEAD else None
+
+
+def encode(payloads: list[bytes], content: list[int | None] | None = None) -> list[bytes]:
+    """A FLAC stream for each payload; its bytes, less 128, are the samples. Lengths are multiples of 576, over 0. A number
+    in ``content`` is kept in the stream, for ``told_size``."""
     counts = [len(p) // BLOCK for p in payloads]
     samples = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).astype(np.int8).reshape(-1, BLOCK)
     frames = encode_frames(samples, np.concatenate([np.arange(c) for c in counts]) if counts else np.empty(0, int))
     out, at = [], 0
-    for payload, count in zip(payloads, counts):
+    for payload, count, told in zip(payloads, counts, content or [None] * len(payloads)):
         own = frames[at : at + count]
         sizes = [len(f) for f in own]
         info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
@@ -222,7 +232,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         info += hashlib.md5(samples[at : at + count].tobytes()).digest()
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         seek = b"".join(struct.pack(">QQH", i * BLOCK, int(o), BLOCK) for i, o in enumerate(offsets))
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
+        size = b"" if told is None else _SIZE_HEAD + told.to_bytes(8, "big")
+        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + size + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
         at += count
     return out
 

@@ -14,11 +14,25 @@ from marginalia.llm.common import column_of, text_slices, utf8_of
 
 
 def payload(utf8: bytes) -> bytes:
-    """A text's bytes, filled up with 255 (which UTF-8 never holds) to a positive multiple of a block."""
+    """A text's bytes, filled up with 255 to a positive multiple of a block."""
     fill = -len(utf8) % flac.BLOCK
     return utf8 + b"\xff" * (fill if utf8 else flac.BLOCK)
 
 
+def _told(utf8: bytes) -> int | None:
+    """The length that a stream must tell: UTF-8 never holds 255, but a string column may, and then it looks like the filling."""
+    return len(utf8) if utf8.endswith(b"\xff") else None
+
+
+def _size(stream: bytes, pcm: bytes) -> int:
+    told = flac.told_size(stream)
+    if told is None:
+        return len(pcm.rstrip(b"\xff"))
+    if told > len(pcm) or pcm[told:].strip(b"\xff"):
+        raise ValueError("the stream tells a size that its bytes don't have")
+    return told
+
+
 def encode_texts(docs: DataFrame) -> DataFrame:
     """doc_id and media: the text's payload as a FLAC stream. A null text is an empty one; null ids and repeated
     rows are kept; an empty table gives an empty one; equal texts give equal streams. Columns other than
@@ -27,7 +41,8 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            streams = flac.encode([payload(t) for t in utf8_of(part)])
+            texts = utf8_of(part)
+            streams = flac.encode([payload(t) for t in texts], [_told(t) for t in texts])
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array(streams, pa.binary())], ["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
@@ -70,7 +85,8 @@ def decode_media(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "media"):
             column = column_of(part, "media")
-            read = _decoded(column.to_pylist())
+            streams = column.to_pylist()
+            read = _decoded(streams)
             pcm = [data for data, _, _ in read]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -78,7 +94,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                     column,
                     pa.array(pcm, pa.binary()),
                     pa.array([offsets for _, offsets, _ in read], pa.list_(pa.int64())),
-                    pa.array([len(p.rstrip(b"\xff")) for p in pcm], pa.int64()),
+                    pa.array([_size(s, p) for s, p in zip(streams, pcm)], pa.int64()),
                     pa.array([feature(samples) for _, _, samples in read]),
                 ],
                 ["doc_id", "media", "pcm", "block_offsets", "n_bytes", "feature"],

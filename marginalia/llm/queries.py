@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import flac, hmm, html_text, media, mixing, packing, quality, simhash, token_store, topk, toxicity
+from marginalia.llm import hmm, html_text, media, mixing, packing, quality, simhash, token_store, topk, toxicity
 from marginalia.llm.common import doc_remainder, scratch_path, written
 from marginalia.llm.tokenization import vocabulary
 
@@ -59,6 +59,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+#: Bytes at the end of a stored payload that ``tail_crc32`` is of.
+TAIL_BYTES = 32
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.decode_media(written(media.encode_texts(_documents(spark, sf_dir)), "media", compression="zstd"))
     return read.select(
@@ -66,7 +70,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes",
         F.octet_length("pcm").cast("long").alias("payload_bytes"),
         F.sha2("pcm", 256).alias("payload_sha256"),
-        F.crc32(F.expr(f"substring(pcm, -{flac.BLOCK}, {flac.BLOCK})")).alias("tail_crc32"),
+        F.crc32(F.expr(f"substring(pcm, -{TAIL_BYTES}, {TAIL_BYTES})")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
